@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import exact_dedup, secret_scan, shards, warc
+from loomwright.llm import bpe, decontaminate, exact_dedup, quality, secret_scan, shards, toxicity, warc
+
+
+#: Where the public vocabulary files are; every worker has them there.
+TOKENIZERS = "/opt/tokenizers"
+HELD_OUT = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text", keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.secret_scan(table(spark, sf_dir, "documents"), "doc_id", "text")
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
@@ -21,6 +37,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(r.name).alias(f"n_{r.name}") for r in secret_scan.RULES], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(*toxicity.sample(docs, "doc_id", "text", labels, "doc_id", "toxic", held_out=HELD_OUT))
+    out = toxicity.score(docs, "text", model, keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     metadata = [F.col("n_chars"), shards.text_place(F.col("source")), shards.text_place(F.col("lang")), F.col("doc_id")]
@@ -28,6 +51,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"), keep=["doc_id"])
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.read_archive(spark, *warc.write_archive(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
     return archive.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -37,4 +65,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_sharding, op7_warc, op8_exact_dedup)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(*toxicity.sample(docs, "doc_id", "text", labels, "doc_id", "quality", held_out=HELD_OUT))
+    out = quality.score(docs, "text", model, keep=["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_toxicity, op5_sharding, op6_bpe, op7_warc, op8_exact_dedup, op9_quality)
+}

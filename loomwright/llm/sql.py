@@ -15,7 +15,21 @@ for _i, _r in enumerate(RULES):
            string_split_regex(t, '{_p}') as gaps
     from (select doc_id, coalesce(text, '') as t from documents)) where len(whole) > 0""")
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+with i as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+p as (select distinct item_id, least(10, len(w)) as m, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as g
+      from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+x as (select doc_id, k, m, array_to_string(w[k:k + m - 1], ' ') as g
+      from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as k from d, (select distinct m from p))),
+h as (select doc_id, k, x.m, item_id from x join p on x.m = p.m and x.g = p.g),
+n as (select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(k, k + m)) as word from (select distinct doc_id, k, m from h)) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id::varchar as item_id from h) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join n using (doc_id) left join t using (doc_id)""",
     "op3_secret_scan": f"""
 with m as ({" union all ".join(_SPANS)}),
 s as (
