@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, decontaminate, exact_dedup, quality, secret_scan, shards, toxicity, warc
+from loomwright.llm import bpe, decontaminate, exact_dedup, jaccard, quality, secret_scan, shards, toxicity, warc
 
 
 #: Where the public vocabulary files are; every worker has them there.
@@ -72,6 +72,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link_sets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_toxicity, op5_sharding, op6_bpe, op7_warc, op8_exact_dedup, op9_quality)
+    f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_toxicity, op5_sharding, op6_bpe, op7_warc, op8_exact_dedup, op9_quality, op10_ngram_jaccard)
 }

@@ -24,18 +24,18 @@ from loomwright.llm import arrow, kernel
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-EPOCHS = 40
+EPOCHS = 100
 #: Labelled texts that the driver trains on at most, and their bytes at most: the model is fitted on a bounded sample.
 TRAIN_ROWS = 4_000
 TRAIN_BYTES = 16 << 20
 SEED = 20_240_601
 #: A bucket is trained on if this many texts have it; what fewer have only helps to learn them by heart.
-LEAST = 8
+LEAST = 10
 #: What it must have to do with the labels, and how many buckets are trained on at least.
 CHI_SQUARE, KEEP = 15.0, 512
 #: Means are this much longer than plain ones, for a word in a thousand to count.
-SCALE = 30.0
-RATE, DECAY = 0.02, 2e-5
+SCALE = 100.0
+RATE, DECAY = 0.05, 2e-5
 
 
 class Model(NamedTuple):
