@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bpe, decontaminate, exact_dedup, jaccard, quality, secret_scan, shards, toxicity, warc
+from loomwright.llm import bpe, decontaminate, exact_dedup, jaccard, licenses, quality, secret_scan, shards, toxicity, warc
 
 
 #: Where the public vocabulary files are; every worker has them there.
@@ -26,6 +26,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", keep=["doc_id"])
+    found = F.array_join(F.transform("licenses", lambda x: x.license), ",")
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), found.alias("licenses"), F.round(F.coalesce(F.array_max(F.transform("licenses", lambda x: x.dice)), F.lit(0.0)), 6).alias("best_dice"))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
@@ -78,5 +84,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_toxicity, op5_sharding, op6_bpe, op7_warc, op8_exact_dedup, op9_quality, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_decontamination, op2_license_scan, op3_secret_scan, op4_toxicity, op5_sharding, op6_bpe, op7_warc, op8_exact_dedup, op9_quality, op10_ngram_jaccard)
 }
