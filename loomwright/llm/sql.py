@@ -25,10 +25,11 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": f"""
 with t as (select i, name, {_BIGRAMS} as g from (select i, name, {_WORDS} as w from (values {_PLACES}) v(i, name, text))),
 u as (select doc_id, unnest(list_concat([text], string_split_regex(text, '\n\n+'), string_split(text, chr(10)))) as text from documents where text is not null),
-b as (select doc_id, {_BIGRAMS} as g from (select doc_id, {_WORDS} as w from (select distinct doc_id, text from u))),
-d as (select row_number() over () as k, doc_id, i, name, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) as dice
+b as (select row_number() over () as k, doc_id, {_BIGRAMS} as g from (select doc_id, {_WORDS} as w from (select distinct doc_id, text from u))),
+d as (select k, doc_id, i, name, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) as dice
       from b, t where len(b.g) > 0 and 2.0 * least(len(b.g), len(t.g)) >= {THRESHOLD} * (len(b.g) + len(t.g))),
-m as (select doc_id, name, max(dice) as dice from d where dice >= {THRESHOLD} group by doc_id, name),
+o as (select * from d where dice >= {THRESHOLD} qualify row_number() over (partition by k order by dice desc, i) = 1),
+m as (select doc_id, name, max(dice) as dice from o group by doc_id, name),
 f as (select doc_id, count(*) as n, string_agg(name, ',' order by name) as names, max(dice) as best from m group by doc_id)
 select doc_id, coalesce(n, 0) as n_licenses, coalesce(names, '') as licenses, round(coalesce(best, 0.0)::double, 6) as best_dice
 from documents left join f using (doc_id)""",
