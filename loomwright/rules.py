@@ -1,0 +1,101 @@
+"""Fixed values that results depend on: word lists, extensions, patterns and tables."""
+
+from __future__ import annotations
+
+#: Words that never become terms.
+STOPWORDS = (
+    "a an the in on at to of with by from as into through during before after above below between under over out up down off "
+    "and or but nor so yet i you he she it we they me him her us them my your his its our their this that these those which who "
+    "whom whose what where when how why is are was were be been being have has had having does did doing will would could should "
+    "may might must shall can need dare ought not no yes all any both each few more most other some such than too very just also "
+    "only own same then there here now always never ever about whether"
+).split()
+
+#: Extensions that make a word a file name.
+FILE_EXTENSIONS = (
+    "rs py js ts jsx tsx go java c cpp h hpp cs rb php swift kt scala clj ex exs erl hs ml fs r jl lua pl sh bash zsh vue svelte "
+    "json yaml yml toml xml md txt css scss sass less html sql graphql proto"
+).split()
+
+#: Words of a question that don't name files.
+QUESTION_WORDS = "the is a an where what how which are in for to".split()
+
+#: File names that need their folder's name, and folders that don't help.
+COMMON_NAMES = (
+    "page.tsx page.ts page.jsx page.js index.tsx index.ts index.jsx index.js layout.tsx layout.ts route.tsx route.ts types.ts "
+    "types.d.ts utils.ts helpers.ts constants.ts config.ts schema.ts mod.rs lib.rs main.rs __init__.py"
+).split()
+PLAIN_FOLDERS = "src lib app pages components".split()
+
+#: What an import path may be completed with, in order.
+IMPORT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".rs", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/mod.rs"]
+
+HTTP_METHODS = "GET POST PUT PATCH DELETE HEAD OPTIONS".split()
+
+#: Terms of a question and what may stand in their place, in the order in which terms are tried.
+EXPANSIONS: dict[str, list[str]] = {
+    "architecture": ["structure", "layout", "design", "organization", "folder"],
+    "structure": ["layout", "organization", "hierarchy"],
+    "organization": ["structure", "layout", "folder"],
+    "design": ["architecture", "pattern", "structure"],
+    "pattern": ["design", "approach", "method", "strategy"],
+    "approach": ["pattern", "method", "strategy", "technique"],
+    "strategy": ["pattern", "approach", "method"],
+    "flow": ["pipeline", "process", "sequence", "stream"],
+    "pipeline": ["flow", "process", "chain", "workflow"],
+    "workflow": ["flow", "process", "pipeline", "sequence"],
+    "components": ["widgets", "elements", "ui", "views", "parts"],
+    "modules": ["packages", "libraries", "crates", "units"],
+    "features": ["functionality", "capabilities", "modules"],
+    "connections": ["relationships", "links", "dependencies", "imports", "references"],
+    "relationships": ["connections", "links", "associations", "bindings"],
+    "dependencies": ["imports", "requires", "packages", "libraries"],
+    "styling": ["styles", "css", "theme", "appearance", "visual", "tailwind"],
+    "styles": ["css", "theme", "classes", "design"],
+    "theme": ["styles", "colors", "appearance", "design"],
+    "animations": ["transitions", "effects", "motion", "keyframes", "animate"],
+    "configuration": ["config", "settings", "options", "env"],
+    "settings": ["config", "options", "preferences"],
+    "config": ["configuration", "settings", "options"],
+    "authentication": ["auth", "login", "session", "credentials", "jwt"],
+    "auth": ["authentication", "login", "session", "token"],
+    "authorization": ["permissions", "roles", "access", "rbac"],
+    "database": ["db", "storage", "persistence", "data"],
+    "schema": ["model", "entity", "table", "structure"],
+    "model": ["schema", "entity", "type", "interface"],
+    "api": ["endpoints", "routes", "handlers", "services"],
+    "endpoints": ["api", "routes", "handlers", "paths"],
+    "routes": ["endpoints", "paths", "handlers", "api"],
+    "tests": ["testing", "specs", "unit", "integration"],
+    "testing": ["tests", "specs", "assertions", "mocks"],
+    "types": ["interfaces", "schemas", "definitions", "models"],
+    "interfaces": ["types", "contracts", "protocols", "apis"],
+    "state": ["store", "context", "redux", "zustand", "data"],
+    "store": ["state", "context", "data", "cache"],
+}
+
+#: Conventional commit kinds and their headings, in the order of a changelog.
+COMMIT_KINDS: dict[str, str] = {
+    "feat": "Features", "fix": "Bug Fixes", "perf": "Performance", "refactor": "Refactoring", "docs": "Documentation",
+    "style": "Styles", "test": "Tests", "build": "Build", "ci": "CI", "chore": "Chores", "revert": "Reverts", "other": "Other",
+}
+
+#: Lock and manifest files, the manager they speak for, its ecosystem and its place (less is stronger).
+LOCK_FILES = [
+    ("pnpm-lock.yaml", "pnpm", "js", 1), ("yarn.lock", "yarn", "js", 2), ("bun.lockb", "bun", "js", 3), ("package-lock.json", "npm", "js", 4), ("package.json", "npm", "js", 10),
+    ("Cargo.lock", "cargo", "rust", 1), ("Cargo.toml", "cargo", "rust", 10),
+    ("uv.lock", "uv", "python", 1), ("poetry.lock", "poetry", "python", 2), ("Pipfile.lock", "pipenv", "python", 3), ("requirements.txt", "pip", "python", 10), ("pyproject.toml", "pip", "python", 11),
+    ("go.sum", "go", "go", 1), ("go.mod", "go", "go", 10), ("Gemfile.lock", "bundler", "ruby", 1), ("Gemfile", "bundler", "ruby", 10), ("composer.lock", "composer", "php", 1), ("composer.json", "composer", "php", 10),
+]
+
+#: Extensions and languages.
+LANGUAGES = {
+    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java",
+    "kt": "kotlin", "cs": "csharp", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "sql": "sql", "md": "markdown", "css": "css", "scss": "scss",
+    "sass": "sass", "less": "less", "html": "html", "htm": "html", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "sh": "shell", "bash": "shell", "swift": "swift",
+    "scala": "scala", "lua": "lua", "r": "r", "jl": "julia", "hs": "haskell", "ex": "elixir", "exs": "elixir", "erl": "erlang", "clj": "clojure", "dart": "dart", "vue": "vue", "svelte": "svelte",
+}
+
+#: Extensions whose files belong to the docs base; all others are code.
+DOC_EXTENSIONS = "md mdx markdown txt rst adoc pdf doc docx html htm json yaml yml toml xml ini csv".split()
+ARCHIVES = "zip tar gz tgz bz2 xz 7z rar".split()
