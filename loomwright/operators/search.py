@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwright.functions import scoring
 from loomwright.functions.text import stemmed, terms
@@ -83,8 +85,8 @@ def knn(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine"
     """
     spark = vectors.sparkSession
     asked = [(r.qid, r.vector) for r in questions.select("qid", "vector").filter("vector is not null").toLocalIterator()]
-    kind = vectors.schema["id"].dataType.simpleString()
-    schema = f"qid {questions.schema['qid'].dataType.simpleString()}, id {kind}, score double"
+    schema = T.StructType([T.StructField("qid", questions.schema["qid"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
     found = spark.createDataFrame([], schema)
     for at in range(0, len(asked), BLOCK):
         block = asked[at : at + BLOCK]
@@ -113,7 +115,7 @@ def knn(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine"
                     else:
                         near = np.arange(len(near))
                     near = near[np.lexsort((own[near], -score[i][near]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(near)), pa.array(own[near]), pa.array(score[i][near])], names=["qid", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([ids[i]] * len(near), own[near].tolist(), score[i][near]), kinds, strict=True)], names=["qid", "id", "score"])
 
         found = found.unionByName(vectors.select("id", "vector").mapInArrow(search, schema))
     return top_per(found, "qid", "score", "id", k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -90,7 +91,7 @@ class _Text(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.out.append(" ".join(data.split()) if data.strip() else " ")
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 def to_markdown(html: str) -> str:
