@@ -100,12 +100,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, bounds) of consecutive rows of about SLICE bytes."""
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, bounds) of consecutive rows of about `size` bytes."""
     raw, bounds = buffers(column)
     n, i = len(bounds) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + size, side="right")) - 1)
         yield i, j, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 

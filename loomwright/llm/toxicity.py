@@ -11,6 +11,7 @@ is the mean, over its words, of the means over their bags. All of a text's words
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,9 @@ DIMENSIONS = 8
 EPOCHS = 100
 #: Labelled texts that the driver trains on at most, and their bytes at most: the model is fitted on a bounded sample.
 TRAIN_ROWS = 4_000
-TRAIN_BYTES = 16 << 20
+TRAIN_BYTES = 12 << 20
+#: Bytes of texts whose features are worked out together.
+TRAIN_SLICE = 1 << 19
 SEED = 20_240_601
 #: A bucket is trained on if this many texts have it; what fewer have only helps to learn them by heart.
 LEAST = 10
@@ -89,10 +92,26 @@ def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def telling(buckets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def texts_features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their weights in the mean) of each text, a slice of texts at a time."""
+    for _, _, raw, bounds in kernel.slices(pa.array(texts, pa.string()), TRAIN_SLICE):
+        bag = Bag.of(raw, bounds)
+        size, words = np.diff(bag.within), np.diff(bag.first)
+        for t in range(len(words)):
+            word, count = np.unique(bag.word[bag.first[t] : bag.first[t + 1]], return_counts=True)
+            n = size[word]
+            part = np.repeat(count / (max(words[t], 1) * n), n)
+            at = np.repeat(bag.within[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            bucket, back = np.unique(bag.bucket[at], return_inverse=True)
+            yield bucket, np.bincount(back, part, len(bucket))
+
+
+def telling(texts: list[str], labels: np.ndarray) -> np.ndarray:
     """Buckets of at least LEAST texts whose presence and label have a chi-square of at least CHI_SQUARE; the best KEEP ones in any case."""
-    every = np.bincount(np.concatenate(buckets), minlength=BUCKETS)
-    ones = np.bincount(np.concatenate([b for b, y in zip(buckets, labels, strict=True) if y]), minlength=BUCKETS)
+    every, ones = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for (bucket, _), y in zip(texts_features(texts), labels, strict=True):
+        every[bucket] += 1
+        ones[bucket] += y
     n, positive = len(labels), labels.sum()
     expected = every * positive / n
     spread = expected * (1 - positive / n) * (1 - every / n)
@@ -101,18 +120,10 @@ def telling(buckets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return chi >= min(CHI_SQUARE, max(np.sort(chi)[-KEEP], 1e-9))
 
 
-def shares(bag: Bag, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, value) with the weight of each bucket in a text's mean, of the buckets that tell something of the labels."""
-    size, words = np.diff(bag.within), np.diff(bag.first)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in range(len(labels)):
-        word, count = np.unique(bag.word[bag.first[t] : bag.first[t + 1]], return_counts=True)
-        part = np.repeat(count / (max(words[t], 1) * size[word]), size[word])
-        at = np.repeat(bag.within[word], size[word]) + np.arange(size[word].sum()) - np.repeat(np.cumsum(size[word]) - size[word], size[word])
-        bucket, back = np.unique(bag.bucket[at], return_inverse=True)
-        out.append((bucket.astype(np.int32), np.bincount(back, part, len(bucket)).astype(np.float32)))
-    keep = telling([b for b, _ in out], labels)
-    out = [(b[keep[b]], v[keep[b]]) for b, v in out]
+def shares(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, weight in the text's mean) of the buckets that tell something of the labels."""
+    keep = telling(texts, labels)
+    out = [(b[keep[b]], v[keep[b]]) for b, v in texts_features(texts)]
     return np.repeat(np.arange(len(labels)), [len(b) for b, _ in out]), np.concatenate([b for b, _ in out]), np.concatenate([v for _, v in out])
 
 
@@ -122,8 +133,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(labels) or share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), prior)
-    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    text, bucket, value = shares(Bag.of(np.frombuffer("".join(texts).encode(), np.uint8), bounds), labels)
+    text, bucket, value = shares(texts, labels)
     value = value * SCALE
     used, bucket = np.unique(bucket, return_inverse=True)
     first = np.searchsorted(text, np.arange(len(labels) + 1))
@@ -176,19 +186,19 @@ def sample(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_i
     """
     known = labels.select(F.col(label_id).alias("_id"), F.col(label_col).alias("_label")).filter("_id is not null and _label is not null")
     known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != held_out).groupBy("_id").agg(F.max("_label").alias("_label"))
-    chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(rows))  # at most `rows` rows
+    chosen = F.broadcast(known.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(rows))  # at most `rows` rows
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
-    found = docs.join(chosen, "_id").withColumn("_size", F.octet_length("_text"))
-    # whole texts, the most bytes held to by a running sum over at most `rows` sizes
-    sizes = found.select("_id", "_size").groupBy("_id").agg(F.max("_size").alias("_size")).collect()
+    found = docs.join(chosen, "_id")
+    sizes = found.groupBy("_id").agg(F.first("_order").alias("_order"), F.max(F.octet_length("_text")).alias("_size")).collect()
     left, fits = most_bytes, []
-    for r in sorted(sizes, key=lambda r: (r["_size"], r["_id"])):
-        if r["_size"] > left:
-            break
-        left -= r["_size"]
-        fits.append(r["_id"])
-    limit = max((r["_size"] for r in sizes if r["_id"] in set(fits)), default=-1)
-    got = found.filter(F.col("_size") <= limit).groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).collect()
+    for r in sorted(sizes, key=lambda r: (r["_order"], r["_id"])):
+        if r["_size"] <= left:
+            left -= r["_size"]
+            fits.append((r["_id"],))
+    if not fits:
+        return [], np.array([])
+    taken = F.broadcast(df.sparkSession.createDataFrame(fits, T.StructType([docs.schema["_id"]])))  # at most `rows` rows
+    got = found.join(taken, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).collect()
     got.sort(key=lambda r: r["_id"])
     return [r["_text"] for r in got], np.array([r["_label"] for r in got], float)
 
