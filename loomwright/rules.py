@@ -99,3 +99,36 @@ LANGUAGES = {
 #: Extensions whose files belong to the docs base; all others are code.
 DOC_EXTENSIONS = "md mdx markdown txt rst adoc pdf doc docx html htm json yaml yml toml xml ini csv".split()
 ARCHIVES = "zip tar gz tgz bz2 xz 7z rar".split()
+
+#: Technologies, as parts of names, and the further terms that they bring to a question.
+STACK_EXPANSIONS: list[tuple[tuple[str, ...], dict[str, list[str]]]] = [
+    (("react", "next"), {"components": ["tsx", "jsx", "react", "component"], "pages": ["app", "routes", "page.tsx", "layout"], "hooks": ["useState", "useEffect", "use", "custom"], "state": ["context", "provider", "store", "zustand"]}),
+    (("vue",), {"components": ["vue", "component", "template"], "state": ["pinia", "vuex", "store", "composable"]}),
+    (("angular",), {"components": ["component.ts", "template", "module"], "services": ["service.ts", "injectable", "provider"], "state": ["ngrx", "store", "service", "observable"]}),
+    (("tailwind",), {"styling": ["tailwind", "className", "tw", "classes"], "styles": ["tailwind.config", "className", "utility"], "animations": ["animate", "transition", "duration", "ease"]}),
+    (("prisma",), {"database": ["prisma", "schema.prisma", "model", "db"], "schema": ["prisma", "model", "relation", "@@"]}),
+    (("typescript",), {"types": ["interface", "type", ".d.ts", "generic"]}),
+    (("rust",), {"modules": ["mod.rs", "crate", "pub mod"], "types": ["struct", "enum", "trait", "impl"]}),
+    (("python",), {"modules": ["__init__.py", "import", "package"], "types": ["class", "dataclass", "TypedDict", "Protocol"]}),
+]
+
+#: What a question says that wants everything of a kind, and what it calls the kinds (singulars stand for plurals, as parts of words).
+ALL_MARKS = ["all ", "every ", "list ", "liste ", "mostre todos", "mostre todas", "quais são todos", "quais são todas", "todas as ", "todos os ", "list of all"]
+KIND_WORDS = {
+    "endpoint": ["route", "rota", "endpoint", "api", "handler"],
+    "function": ["function", "função", "funções", "method", "método"],
+    "class": ["class", "classe", "type", "tipo", "interface"],
+    "component": ["component", "componente"],
+    "file": ["file", "arquivo", "module", "módulo"],
+    "symbol": ["symbol", "símbolo", "definition", "definição", "definições"],
+}
+#: Kinds of nodes that a kind of question takes in, besides its own.
+KIND_SYNONYMS = {
+    "endpoint": ["route", "api"],
+    "function": ["fn", "method"],
+    "class": ["type", "interface", "struct", "entity"],
+    "symbol": ["function", "fn", "method", "class", "type", "interface"],
+}
+#: Methods that a question may filter by, in the order in which they are looked for, and words that ask about endpoints.
+ASKED_METHODS = ["get", "post", "put", "delete", "patch"]
+ENDPOINT_WORDS = ["/api/", "endpoint", "route", "http", "get ", "post ", "put ", "delete ", "patch ", "rest ", "handler"]
