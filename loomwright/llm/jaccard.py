@@ -8,20 +8,25 @@ shingles. Sizes fall into bands; in the scheme of a band the universe is hashed
 and a set takes part in the schemes of its own band and of those that a larger partner may be in.
 
 * Subsets: with m > H segments, sets that link agree in at least m - H whole segments. A set's
-  part of a segment, if any, is one signature. Shingles that a share HOT of all texts have are left
-  out first (the sets only get closer), so that a common passage makes no common signature.
+  part of a segment, if any, is one signature.
 * One-deletion neighbourhoods: with m > H / 2 segments, sets that link differ by at most one
-  shingle in some segment. A set's part of a segment, and the part less each shingle, are
-  signatures; the whole set counts, and empty parts too.
-
-The allocation goes by cost, set by set. Subsets are far fewer signatures and enough as soon as a
-set has more than H segments that aren't empty: then a partner agrees with one of them. A set that
-is short of that, for its size or for being mostly common shingles, also gets neighbourhoods. Any
-linked pair shares a signature: a subset if either set has enough of them, else a neighbourhood.
-
-Candidates: in each group of one signature, all are verified against the least. Then, only where a
-group still spans several components, the members outside its largest component are verified
-against those of other components. Verification intersects the whole sets.
+  shingle in some segment. A set's part of a segment is a full signature, the part less one
+  shingle a deletion; two sets meet where at least one of them is full.
+
+Shingles that many texts have, a passage in common, make common signatures. So both kinds come in
+LEVELS: at the first, shingles that LEVELS[0] of all texts have are left out (sets only get closer
+by that), then only those of LEVELS[1], and at last none.
+
+The allocation goes by cost, set by set: subsets before neighbourhoods, lower levels before higher
+ones, as far as the first that is enough. Subsets are, if more than H parts aren't empty;
+neighbourhoods, if parts of one shingle and twice those of more are more than H; on the last level
+neighbourhoods take in empty parts too and always are. Every linked pair shares a signature: both
+sets go as far as the nearer of their ends, where one of them has enough.
+
+Candidates: in each group of one signature, all are verified against the least full one. Where a
+group still spans several components, the members outside its largest one are verified against
+some members of other components, then all: most need but one link to be settled.
+Verification intersects the whole sets.
 """
 
 from __future__ import annotations
@@ -42,8 +47,10 @@ WORDS = 5
 SIMILARITY = Fraction(4, 5)
 #: Ratio of a band's sizes.
 RATIO = 1.5
-#: Texts that have a shingle, as a share of all, and their number at least, for the shingle to be left out of subsets.
-HOT, HOT_LEAST = 0.005, 64
+#: Shares of texts that have a shingle, and their number at least, for it to be left out of a level's signatures.
+LEVELS, LEAST = (0.002, 0.008, 0.032, 0.128), 64
+#: Members of a group's largest component that those outside are verified against before all of other components.
+ANCHORS = 8
 #: Members of a group that one task verifies.
 CREW = 256
 _STEPS = np.array([pow(kernel.BASE, k, 1 << 64) for k in range(64)], np.uint64)
@@ -89,30 +96,38 @@ class Schemes:
                 yield number, hi, self.differ(n, min(hi, int(n / self.t)))
             lo, number = hi + 1, number + 1
 
-    def signatures(self, s: np.ndarray, cold: np.ndarray) -> list[np.ndarray]:
-        """All signatures of a set; cold: the shingles that aren't common."""
-        out = []
+    def signatures(self, s: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+        """(signatures, full?) of a set; level: from which level on each shingle counts."""
+        out: list[tuple[np.ndarray, bool]] = []
         for number, hi, most in self.bands(len(s)):
             top = self.differ(hi, hi)
-            m = top + 3 + top // 8
-            segment, own = self.segments(s[cold], number, m)
-            filled = np.flatnonzero(np.bincount(segment, minlength=m))
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, segment, own)
-            out.append(self.sign(total[filled], 2 * number, filled))
-            if len(filled) <= most:
-                m = top // 2 + 1
-                segment, own = self.segments(s, number, m)
-                total = np.zeros(m, np.uint64)
-                np.add.at(total, segment, own)
-                out.append(self.sign(total, 2 * number + 1, np.arange(m)))
-                out.append(self.sign(total[segment] - own, 2 * number + 1, segment))
+            for at in range(len(LEVELS) + 1):
+                own = s if at == len(LEVELS) else s[level <= at]
+                scheme = (number * (len(LEVELS) + 1) + at) * 2
+                total, segment, value = self.segments(own, scheme, top + 3 + top // 8)
+                filled = np.unique(segment)
+                out.append((self.sign(total[filled], scheme, filled), True))
+                if len(filled) > most:
+                    break
+                whole = at == len(LEVELS)
+                total, segment, value = self.segments(own, scheme + 1, top // 2 + 1 if whole else top * 2 // 3 + 3)
+                size = np.bincount(segment, minlength=len(total))
+                filled = np.arange(len(total)) if whole else np.flatnonzero(size)
+                out.append((self.sign(total[filled], scheme + 1, filled), True))
+                less = np.ones(len(segment), bool) if whole else size[segment] > 1
+                out.append((self.sign(total[segment[less]] - value[less], scheme + 1, segment[less]), False))
+                if (size == 1).sum() + 2 * (size > 1).sum() > most:
+                    break
         return out
 
     @staticmethod
-    def segments(s: np.ndarray, number: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        own = kernel.mix(s + np.uint64((number + 1) * 0x9E37_79B9))
-        return (own % np.uint64(m)).astype(np.int64), kernel.mix(own)
+    def segments(s: np.ndarray, scheme: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of each segment's values, each shingle's segment, each shingle's value)."""
+        own = kernel.mix(s + np.uint64((scheme + 1) * 0x9E37_79B9))
+        segment, value = (own % np.uint64(m)).astype(np.int64), kernel.mix(own)
+        total = np.zeros(m, np.uint64)
+        np.add.at(total, segment, value)
+        return total, segment, value
 
     @staticmethod
     def sign(total: np.ndarray, scheme: int, segment: np.ndarray) -> np.ndarray:
@@ -146,7 +161,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
             u, at = np.unique(np.concatenate([uniques, *held]), return_inverse=True)
             weight = np.concatenate([counts, np.ones(len(at) - len(counts), np.int64)])
             total = np.bincount(at, weight, len(u)).astype(np.int64)
-            least = max(2, int(HOT / 2 * texts))
+            least = max(2, int(LEVELS[0] / 2 * texts))
             uniques, counts, held, size = u[total >= least], total[total >= least], [], 0
 
         for batch in batches:
@@ -167,7 +182,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "id", "n", "a", "b"])
         if held:
             fold()
-        least = max(3, int(HOT / 2 * texts))
+        least = max(3, int(LEVELS[0] / 2 * texts))
         u, c = uniques[counts >= least], counts[counts >= least]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c), pa.array(u.view(np.int64)), pa.array(np.zeros(len(u), np.int64))], names=["kind", "id", "n", "a", "b"])
 
@@ -175,64 +190,92 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
     every = scanned.filter("kind = 0").select("id", "n", "a", "b")
     classes = scratch.keep(every.filter("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("class_id"), F.max("n").alias("n")), "jaccard-classes")
     texts = classes.count()
-    # at most sum(n) / (HOT / 2 * texts) shingles, twice the mean size over HOT
-    hot = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(HOT_LEAST, HOT / 2 * texts))
-    common = np.sort(np.array([r.a for r in hot.select("a").collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(common)
+    # at most sum(n) / (LEVELS[0] / 2 * texts) shingles, twice the mean size over LEVELS[0]
+    hot = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, LEVELS[0] / 2 * texts))
+    found = hot.select("a", "n").collect()
+    common = np.array([r.a for r in found], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    from_level = 1 + np.searchsorted(np.array(LEVELS[1:]) * max(texts, 1), np.array([r.n for r in found], float)[order], "right") if found else np.empty(0, np.int64)
+    shared = spark.sparkContext.broadcast((common[order], from_level))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        common = shared.value
+        common, from_level = shared.value
+        sigs: list[np.ndarray] = []
+        full: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal sigs, full, owners, size
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(full)), pa.array(np.concatenate(owners))], names=["sig", "whole", "id"])
+            sigs, full, owners, size = [], [], [], 0
+            return out
+
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sigs: list[np.ndarray] = []
-            owners: list[np.ndarray] = []
-            size = 0
             for i, _, raw, bounds in kernel.slices(batch.column(1)):
                 for r, s in enumerate(shingles(raw, bounds, words), i):
                     if not len(s) or ids[r] is None or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
-                    at = np.searchsorted(common, s)
-                    cold = common[np.minimum(at, len(common) - 1)] != s if len(common) else np.ones(len(s), bool)
-                    found = schemes.signatures(s, cold)
-                    sigs += found
-                    owners.append(np.full(sum(map(len, found)), ids[r], np.int64))
-                    size += len(owners[-1])
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "id"])
-                    sigs, owners, size = [], [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], names=["sig", "id"])
+                    level = np.zeros(len(s), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        level = np.where(common[at] == s, from_level[at], 0)
+                    for x, whole in schemes.signatures(s, level):
+                        sigs.append(x)
+                        full.append(np.full(len(x), whole))
+                        owners.append(np.full(len(x), ids[r], np.int64))
+                        size += len(x)
+                    if size > 200_000:
+                        yield flush()
+        if size:
+            yield flush()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    signed = docs.mapInArrow(sign, "sig long, id long").repartition(parts, "sig").sortWithinPartitions("sig", "id")
-    # groups of two texts or more; then of two classes or more
-    met = scratch.keep(signed.mapInArrow(groups, "sig long, id long"), "jaccard-met")
+    signed = docs.mapInArrow(sign, "sig long, whole boolean, id long").repartition(parts, "sig").sortWithinPartitions("sig", F.col("whole").desc(), "id")
+    # groups of two texts or more, one of them full; then of two classes or more
+    met = scratch.keep(signed.mapInArrow(groups, "sig long, whole boolean, id long"), "jaccard-met")
     # (a repeated id, which counts as one document, has its least class here)
     class_of = every.filter("n > 0").join(classes.drop("n"), ["a", "b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    member = scratch.keep(met.join(class_of, "id").select("sig", F.col("class_id").alias("id")).distinct(), "jaccard-members")
-    least = member.groupBy("sig").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", "hub")
-    star = scratch.keep(member.join(least, "sig").filter("id != hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), "jaccard-star")
-    links = scratch.keep(verify(docs, classes, star, words, similarity), "jaccard-links")
-    label = components(links)
-
-    at = member.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    sized = at.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size"))
-    split = sized.groupBy("sig").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
-    apart = scratch.keep(at.join(split, "sig"), "jaccard-apart")
-    minor = apart.filter("component != top").select("sig", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = minor.join(apart.select("sig", F.col("id").alias("y"), F.col("component").alias("cy"), "top"), "sig").filter("cx != cy and (cy = top or x < y)")
-    rest = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
-    rest = scratch.keep(rest, "jaccard-rest")
-    more = scratch.keep(verify(docs, classes, rest, words, similarity), "jaccard-more")
-    links = links.unionByName(more)
+    member = met.join(class_of, "id").groupBy("sig", F.col("class_id").alias("id")).agg(F.max("whole").alias("whole"))
+    member = scratch.keep(member, "jaccard-members")
+    least = member.groupBy("sig").agg(F.min(F.when(F.col("whole"), F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1 and hub is not null")
+    least = scratch.keep(least, "jaccard-hubs")
+    member = member.join(least.select("sig"), "sig", "left_semi")
+    tried = scratch.keep(member.join(least.select("sig", "hub"), "sig").filter("id != hub").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct(), "jaccard-star")
+    links = scratch.keep(verify(docs, classes, tried, words, similarity), "jaccard-links")
     label = scratch.keep(components(links), "jaccard-components")
+
+    for anchors in (ANCHORS, None):
+        at = member.join(label, "id", "left").select("sig", "id", "whole", F.coalesce("component", "id").alias("component"))
+        sized = at.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = sized.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
+        apart = scratch.keep(at.join(split, "sig"), "jaccard-apart")
+        if apart.isEmpty():
+            break
+        minor = apart.filter("component != top").select("sig", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("whole").alias("wx"))
+        if anchors is not None:
+            # the least by each of several hashes: the groups that a set of near copies shares choose the same few
+            first = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(anchors)]
+            chosen = apart.filter("component = top and whole").groupBy("sig").agg(F.array_sort(F.array_distinct(F.array(*first))).alias("ys"))
+            across = minor.join(chosen, "sig").select("x", "ys").distinct().select("x", F.explode("ys").alias("y"))
+        else:
+            other = apart.select("sig", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("whole").alias("wy"))
+            across = minor.join(other, "sig").filter("cx != cy and (wx or wy)")
+        across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        rest = scratch.keep(across.join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
+        if rest.isEmpty():
+            continue
+        links = links.unionByName(scratch.keep(verify(docs, classes, rest, words, similarity), "jaccard-links"))
+        tried = tried.unionByName(rest)
+        label = scratch.keep(components(links), "jaccard-components")
+
     degree = links.select(F.explode(F.array("x", "y")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.drop("n").join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     named = scratch.keep(named, "jaccard-named")
-    full = every.filter("n > 0").join(named, ["a", "b"], "left")
-    out = full.unionByName(every.filter("n = 0"), allowMissingColumns=True)
+    out = every.filter("n > 0").join(named, ["a", "b"], "left").unionByName(every.filter("n = 0"), allowMissingColumns=True)
     known = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -244,19 +287,25 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, those of signatures with more than one row; only the last row waits for the next batch."""
-    sig, ids, joined = np.empty(0, np.int64), np.empty(0, np.int64), False
+    """Of rows sorted by signature, full ones first: those of signatures with several rows, the first of them full. Only the last row waits for the next batch."""
+    sig, whole, ids = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+    joined, good = False, False  # whether the row that waits has the signature of one before, and whether that began full
     for batch in batches:
         sig = np.concatenate([sig, batch.column(0).to_numpy(zero_copy_only=False)])
-        ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+        whole = np.concatenate([whole, batch.column(1).to_numpy(zero_copy_only=False)])
+        ids = np.concatenate([ids, batch.column(2).to_numpy(zero_copy_only=False)])
         if len(sig) < 2:
+            good = good if joined else bool(whole[0]) if len(sig) else False
             continue
         same = sig[1:] == sig[:-1]
-        keep = same | np.concatenate([[joined], same[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep]), pa.array(ids[:-1][keep])], names=["sig", "id"])
-        sig, ids, joined = sig[-1:], ids[-1:], bool(same[-1])
-    if joined:
-        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], names=["sig", "id"])
+        begins = np.concatenate([[not joined], ~same])
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
+        full = np.where(first >= 0, whole[np.maximum(first, 0)], good)
+        keep = full[:-1] & (same | np.concatenate([[joined], same[:-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (sig, whole, ids)], names=["sig", "whole", "id"])
+        sig, whole, ids, joined, good = sig[-1:], whole[-1:], ids[-1:], bool(same[-1]), bool(full[-1])
+    if joined and good:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, whole, ids)], names=["sig", "whole", "id"])
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
