@@ -241,11 +241,17 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
     class_of = every.filter("n > 0").join(classes.drop("n"), ["a", "b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     member = met.join(class_of, "id").groupBy("sig", F.col("class_id").alias("id")).agg(F.max("whole").alias("whole"))
     member = scratch.keep(member, "jaccard-members")
+    scratch.release(spark)
     least = member.groupBy("sig").agg(F.min(F.when(F.col("whole"), F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1 and hub is not null")
     least = scratch.keep(least, "jaccard-hubs")
     member = member.join(least.select("sig"), "sig", "left_semi")
+    # texts of the classes that meet any other, fetched once for all rounds; a merge join, as it has to be at any large size
+    meeting = member.select("id").distinct().join(classes.select(F.col("class_id").alias("id"), "a"), "id")
+    docs = scratch.keep(docs.join(meeting.hint("merge"), "id").select("id", "text"), "jaccard-texts")
+    scratch.release(spark)
     tried = scratch.keep(member.join(least.select("sig", "hub"), "sig").filter("id != hub").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct(), "jaccard-star")
     links = scratch.keep(verify(docs, classes, tried, words, similarity), "jaccard-links")
+    scratch.release(spark)
     label = scratch.keep(components(links), "jaccard-components")
 
     for anchors in (ANCHORS, None):
@@ -269,6 +275,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
         if rest.isEmpty():
             continue
         links = links.unionByName(scratch.keep(verify(docs, classes, rest, words, similarity), "jaccard-links"))
+        scratch.release(spark)
         tried = tried.unionByName(rest)
         label = scratch.keep(components(links), "jaccard-components")
 
