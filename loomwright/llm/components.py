@@ -32,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         edges = scratch.keep(_star(edges, large=True), "edges")
         edges = scratch.keep(_star(edges, large=False), "edges")
-        # done when all are stars: no node hangs from another and has others hanging from it
-        if edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # done when all are stars: no node hangs from two others, or from another and has others hanging from it
+        twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if twice.isEmpty() and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     # every edge now goes from a node to the least of its component
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -106,6 +106,27 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_components_of_random_paths_and_trees(spark, seed):
+    """Each graph alone, against union-find, as other graphs keep the loop going; in the first a node comes to hang from two roots."""
+    rnd, edges = random.Random(seed), [(1, 5), (5, 3), (3, 4), (4, 2)]
+    if seed:
+        ids = rnd.sample(range(100), 8)
+        edges = [(ids[i], ids[i - 1 if seed % 2 else rnd.randrange(i)]) for i in range(1, 8)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    rows = components(spark.createDataFrame(edges, "x long, y long")).collect()
+    assert sorted((r.id, r.component) for r in rows) == sorted((x, find(x)) for x in parent)
+
+
 def metadata():
     return [F.col("n_chars"), shards.text_place(F.col("source")), F.col("doc_id")]
 
