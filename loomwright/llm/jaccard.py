@@ -27,6 +27,10 @@ Candidates: in each group of one signature, all are verified against the least f
 group still spans several components, the members outside its largest one are verified against
 some members of other components, then all: most need but one link to be settled.
 Verification intersects the whole sets.
+
+Numbers of links: every link lies within a component. Where the verified pairs of a component are
+not all its pairs, its members are dealt into squads, and each pair of squads counts the links
+between them from products of their incidence matrices; no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -53,6 +57,8 @@ LEVELS, LEAST = (0.002, 0.008, 0.032, 0.128), 64
 ANCHORS = 8
 #: Members of a group that one task verifies.
 CREW = 256
+#: Members of a component and their shingles, on average, in each of the two squads that one task compares; columns of one matrix product.
+SQUAD, SQUAD_SHINGLES, COLUMNS = 512, 500_000, 4096
 _STEPS = np.array([pow(kernel.BASE, k, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -137,9 +143,8 @@ class Schemes:
 def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id, n_links.
 
-    class_id: the least id of the same set. n_links: other classes that a verified pair joins to
-    this one; pairs within one component that nothing depends on aren't verified. component_id:
-    the least id reachable by links, the row's own included.
+    class_id: the least id of the same set. n_links: all other classes whose sets are similar
+    enough. component_id: the least id reachable by links, the row's own included.
     Cases: a null or empty text, or one without words, is the empty set, linked with nothing, not
     even with another empty set; a null id gets null class and component; repeated rows are one
     class; rows that share an id but not a text count as one document; an empty table gives no
@@ -279,7 +284,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
         tried = tried.unionByName(rest)
         label = scratch.keep(components(links), "jaccard-components")
 
-    degree = links.select(F.explode(F.array("x", "y")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = degrees(docs, classes, links, label, words, similarity)
     named = classes.drop("n").join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     named = scratch.keep(named, "jaccard-named")
     out = every.filter("n > 0").join(named, ["a", "b"], "left").unionByName(every.filter("n = 0"), allowMissingColumns=True)
@@ -363,3 +368,95 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, si
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
     return met.mapInArrow(compare, "x long, y long").distinct()
+
+
+def degrees(docs: DataFrame, classes: DataFrame, links: DataFrame, label: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(class_id, n_links): all links of each class in a component; links: those verified so far, each once.
+
+    A squad's members go to its tasks with every squad of the component, its own included, as
+    many times as the component has squads.
+    """
+    spark = docs.sparkSession
+    own = label.join(classes.select(F.col("class_id").alias("id"), "a", "n"), "id")
+    size = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    known = links.join(label, F.col("x") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("e"))
+    squads = F.greatest(F.ceil(F.col("m") / SQUAD), F.ceil(F.col("total") / SQUAD_SHINGLES)).cast("int")
+    unsure = scratch.keep(size.join(known, "component").filter("2 * e < m * (m - 1)").select("component", squads.alias("squads")), "jaccard-unsure")
+    member = own.join(unsure, "component").select("component", "squads", F.pmod(F.xxhash64("id"), F.col("squads")).cast("int").alias("squad"), "id", "a")
+    member = scratch.keep(member, "jaccard-squads")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out, kept = batch.column(5).to_pylist(), [], []
+            for i, _, raw, bounds in kernel.slices(batch.column(4)):
+                for r, s in enumerate(shingles(raw, bounds, words), i):
+                    if len(s) and set_key(s)[0] == keys[r]:
+                        kept.append(r)
+                        out.append(s.tobytes())
+            chosen = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(chosen) for i in range(4)), pa.array(out, pa.binary())], names=["component", "squads", "squad", "id", "members"])
+
+    filled = docs.join(member, "id").select("component", "squads", "squad", "id", "text", "a").mapInArrow(fill, "component long, squads int, squad int, id long, members binary")
+    dealt = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squads") - 1)))
+    dealt = dealt.select("component", F.least("squad", "other").alias("i"), F.greatest("squad", "other").alias("j"), "squad", "id", "members")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    met = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "squad", "id")
+    num, den = similarity.numerator, similarity.denominator
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ids, sets, second = None, [], [], 0  # second: members of the task's first squad
+        done: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if task is None:
+                return
+            if task[1] == task[2]:
+                n = linked(sets, sets, num, den)
+                at = n.sum(axis=1) - n.diagonal()
+            else:
+                n = linked(sets[:second], sets[second:], num, den)
+                at = np.concatenate([n.sum(axis=1), n.sum(axis=0)])
+            done.extend(zip(ids, at.tolist(), strict=True))
+
+        def flush() -> pa.RecordBatch:
+            nonlocal done
+            out = pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], names=["class_id", "n"])
+            done = []
+            return out
+
+        for batch in batches:
+            a, b, c, d, e = (batch.column(k).to_pylist() for k in range(5))
+            for key, squad, x, m in zip(zip(a, b, c, strict=True), d, e, batch.column(5), strict=True):
+                if key != task:
+                    close()
+                    task, ids, sets, second = key, [], [], 0
+                if ids and ids[-1] == x:  # a repeated row
+                    continue
+                ids.append(x)
+                sets.append(np.frombuffer(m.as_py(), np.uint64))
+                second += squad == key[1]
+            yield flush()
+        close()
+        yield flush()
+
+    counted = met.mapInArrow(count, "class_id long, n long")
+    sure = links.join(label, F.col("x") == F.col("id")).join(unsure, "component", "left_anti").select(F.explode(F.array("x", "y")).alias("class_id"), F.lit(1).cast("long").alias("n"))
+    return scratch.keep(counted.unionByName(sure).groupBy("class_id").agg(F.sum("n").alias("n_links")), "jaccard-degrees")
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each set of left and each of right are of Jaccard similarity num / den at least."""
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.int64)
+    n = [np.array([len(s) for s in side]) for side in (left, right)]
+    shingle, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(n))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, len(shingle), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        block = np.zeros((len(left) + len(right), min(COLUMNS, len(shingle) - first)), np.float32)
+        block[row[a:b], column[a:b] - first] = 1
+        both += (block[: len(left)] @ block[len(left) :].T).astype(np.int64)
+    return (both * den >= num * (n[0][:, None] + n[1][None, :] - both)).astype(np.int64)

@@ -79,6 +79,32 @@ def test_links_against_brute_force(docs, monkeypatch, seed, passage):
     assert got == brute(texts)
 
 
+def test_numbers_of_links_against_brute_force(docs, monkeypatch):
+    """Groups of many similar texts, within one squad and over several."""
+    monkeypatch.setattr(jaccard, "SQUAD", 8)
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choices("abcdefghij", k=4)) for _ in range(500)]
+    texts = near_copies(6, n=60)
+    for size, length in ((40, 150), (12, 150), (3, 104)):
+        base = rnd.choices(vocab, k=length)
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rnd.choice([1, 1, 2])):
+                w[rnd.randrange(length)] = rnd.choice(vocab)
+            texts.append(" ".join(w))
+    texts += [texts[-1], texts[-20]]
+    sets = []
+    for t in texts:
+        w = t.translate(SMALL).split()
+        sets.append(frozenset([tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]))
+    different = set(sets)
+    want = [sum(a != b and 5 * len(a & b) >= 4 * len(a | b) for b in different) for a in sets]
+    assert max(want) > 16
+    df = docs(*texts)
+    got = {r.doc_id: r.n_links for r in jaccard.link_sets(df.unionByName(df.filter("doc_id % 7 = 0")), "doc_id", "text").collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_signatures_cover_every_link():
     """Any two sets within the similarity share a signature, one of them full, whatever is common."""
     import numpy as np
