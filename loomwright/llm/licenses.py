@@ -1,13 +1,18 @@
 """Licence scan: normalised text compared to licence templates by Dice coefficient over word bigrams.
 
-Units are the whole text, its paragraphs (parted by blank lines) and its lines, so that a notice
-is found alone and inside other text. Normalising lower-cases A-Z and keeps words of letters,
+Units are the whole text, its paragraphs (parted by blank lines) and its lines. Licences that no
+unit has are looked for in windows: all stretches of a text's words, wherever they begin and end,
+of as many bigrams as a template's can have. So a notice is found alone and inside other text,
+over several paragraphs, within a line and wrapped over lines, whatever the line ends. Of windows
+that overlap the one of the highest coefficient counts. Normalising lower-cases A-Z and keeps words of letters,
 digits and points inside numbers apart from all else. With a and b distinct bigrams, Dice is at
 most 2 min(a, b) / (a + b); only templates within that bound are compared. A unit's template is
 the one of the highest coefficient, the first in order on a tie.
 
 The pruning is vectorised: a unit whose own bigrams that occur in any template are too few for the
-threshold, at its size, has no template. The others are compared as sets of words, in full.
+threshold, at its size, has no template. The others are compared as sets of words, in full. A
+window begins and ends with a bigram of its template, as others only lower its coefficient, and is
+looked at only where enough such bigrams lie close together.
 """
 
 from __future__ import annotations
@@ -68,7 +73,9 @@ class Matcher:
         self.names = [n for n, _ in templates]
         self.sets = [bigrams(t) for _, t in templates]
         self.sizes = np.array([len(s) for s in self.sets])
-        self.known = np.unique(np.concatenate([self.hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in templates]))
+        own = [np.unique(self.hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for _, t in templates]
+        self.known = np.unique(np.concatenate(own))
+        self.has = np.array([np.isin(self.known, x) for x in own])
 
     @staticmethod
     def hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +110,47 @@ class Matcher:
         # of a template of b bigrams at most min(shared, b) are common, and 2 min(shared, b) / (own + b) grows until b = shared
         return np.flatnonzero((shared > 0) & (2 * shared >= self.threshold * (own + shared)))
 
+    def windows(self, raw: np.ndarray, bounds: np.ndarray) -> list[tuple[int, float, int]]:
+        """(text, coefficient, template) of the windows that count."""
+        w = kernel.Words(raw, bounds, kernel.ALNUM)
+        unit = np.repeat(np.arange(len(bounds) - 1), np.diff(w.first))
+        inner = np.flatnonzero(unit[1:] == unit[:-1])
+        h, unit = kernel.mix(w.hash[inner] * np.uint64(kernel.BASE) + w.hash[inner + 1]), unit[inner]
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        member = np.flatnonzero(self.known[at] == h)
+        code = at[member]
+        found: dict[int, list[tuple[float, int, int, int]]] = {}
+        reach = self.threshold / (2 - self.threshold)
+        for i, size in enumerate(self.sizes.tolist()):
+            least, most = max(1, int(np.ceil(size * reach - 1e-9))), int(size / reach + 1e-9)
+            places = member[self.has[i][code]]
+            if size == 0 or len(places) < least:
+                continue
+            begin, end = places[: len(places) - least + 1], places[least - 1 :]
+            for p in begin[(end - begin < most) & (unit[begin] == unit[end])].tolist():
+                stretch = slice(p, min(p + most, int(np.searchsorted(unit, unit[p], "right"))))
+                best = self.longest(h[stretch], self.has[i][at[stretch]] & (self.known[at[stretch]] == h[stretch]), size)
+                if best:
+                    found.setdefault(int(unit[p]), []).append((-best[0], i, p, p + best[1]))
+        out = []
+        for text, hits in found.items():
+            taken: list[tuple[int, int]] = []
+            for _, i, p, q in sorted(hits):
+                if all(q <= a or b <= p for a, b in taken):
+                    d = dice(bigrams(w.text(int(inner[p]), int(inner[q - 1]) + 2).decode()), self.sets[i])
+                    if d >= self.threshold:
+                        taken.append((p, q))
+                        out.append((text, d, i))
+        return out
+
+    def longest(self, h: np.ndarray, own: np.ndarray, size: int) -> tuple[float, int] | None:
+        """The highest coefficient of the stretch's beginnings, and the bigrams in the first one that has it."""
+        new = np.zeros(len(h), bool)
+        new[np.unique(h, return_index=True)[1]] = True
+        d = 2 * np.cumsum(new & own) / (np.cumsum(new) + size)
+        k = int(np.argmax(d))
+        return (float(d[k]), k + 1) if d[k] >= self.threshold else None
+
 
 def units(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Bounds of whole texts, of paragraphs and of lines; those of texts are bounds of all."""
@@ -115,7 +163,8 @@ def scan(df: DataFrame, text_col: str, templates: list[tuple[str, str]] | None =
     """df (or its columns `keep`) and licenses: array of (license, dice), by license, the best coefficient of each.
 
     Cases: a null or empty text has no licence; units of fewer than two words have no bigrams
-    and match nothing; a licence found in several units counts once; an empty table stays empty;
+    and match nothing; a licence found in several units or windows counts once, and has the
+    coefficient of its units if it is found in any; an empty table stays empty;
     if df has a column licenses already, the new name gets an underscore. Whole texts are read.
     """
     at, name = df.columns.index(text_col), arrow.fresh(df, "licenses")
@@ -132,6 +181,11 @@ def scan(df: DataFrame, text_col: str, templates: list[tuple[str, str]] | None =
                     if hit:
                         row = found[int(np.searchsorted(bounds, cut[u], "right")) - 1]
                         row[matcher.names[hit[1]]] = max(hit[0], row.get(matcher.names[hit[1]], 0.0))
+            extra: list[dict[str, float]] = [{} for _ in range(j - i)]
+            for r, d, t in matcher.windows(raw, bounds):
+                if (name := matcher.names[t]) not in found[r]:
+                    extra[r][name] = max(d, extra[r].get(name, 0.0))
+            found = [f | e for f, e in zip(found, extra, strict=True)]
             out += [[{"license": k, "dice": v} for k, v in sorted(f.items())] for f in found]
         return [pa.array(out, kind)]
 

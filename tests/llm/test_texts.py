@@ -26,6 +26,19 @@ def test_licenses(spark, docs):
     assert licenses.scan(df.filter(F.lit(False)), "text").count() == 0
 
 
+def test_licenses_inside_other_text(docs):
+    """Over several paragraphs, within a line, wrapped, with CRLF and with blanks on the empty line; similar templates don't stand for each other."""
+    cut = [MIT.index(" The above"), MIT.index(" THE SOFTWARE IS PROVIDED")]
+    parts = [MIT[: cut[0]], MIT[cut[0] + 1 : cut[1]], MIT[cut[1] + 1 :]]
+    other = " ".join(f"bar{k}" for k in range(90))
+    read_me = lambda gap: gap.join(["About Foo", other, *parts, "Thanks to all. " + other[::-1]])
+    wrapped = "Foo reads bars and writes them down. This work is licensed\r\nunder the GNU General Public License, version 2.\r\nIt has more to say " + "about bars " * 30
+    texts = [read_me("\n\n"), read_me("\r\n\r\n"), read_me("\n \n"), "Foo is a small tool for bars. Released under the MIT License.", wrapped]
+    texts += ["A line about bars, licensed under CC BY-SA 4.0. Then more. Licensed under the Apache License, Version 2.0, and so on and on.", "permission is granted to read this notice under the license " * 20]
+    got = {r.doc_id: [x.license for x in r.licenses] for r in licenses.scan(docs(*texts), "text").collect()}
+    assert got == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["MIT"], 4: ["GPL-2.0-only"], 5: ["Apache-2.0", "CC-BY-SA-4.0"], 6: []}
+
+
 def test_license_pruning_loses_nothing():
     m, rnd = licenses.Matcher(licenses.TEMPLATES, 0.8), random.Random(5)
     for _ in range(300):
