@@ -14,23 +14,28 @@ and a set takes part in the schemes of its own band and of those that a larger p
   shingle a deletion; two sets meet where at least one of them is full.
 
 Shingles that many texts have, a passage in common, make common signatures. So both kinds come in
-LEVELS: at the first, shingles that LEVELS[0] of all texts have are left out (sets only get closer
+levels: at the first, shingles that LEVELS[0] of all texts have are left out (sets only get closer
 by that), then only those of LEVELS[1], and at last none.
 
-The allocation goes by cost, set by set: subsets before neighbourhoods, lower levels before higher
-ones, as far as the first that is enough. Subsets are, if more than H parts aren't empty;
-neighbourhoods, if parts of one shingle and twice those of more are more than H; on the last level
-neighbourhoods take in empty parts too and always are. Every linked pair shares a signature: both
-sets go as far as the nearer of their ends, where one of them has enough.
-
-Candidates: in each group of one signature, all are verified against the least full one. Where a
-group still spans several components, the members outside its largest one are verified against
-some members of other components, then all: most need but one link to be settled.
-Verification intersects the whole sets.
-
-Numbers of links: every link lies within a component. Where the verified pairs of a component are
-not all its pairs, its members are dealt into squads, and each pair of squads counts the links
-between them from products of their incidence matrices; no pair becomes a row.
+The allocation between the two kinds and the levels goes by cost. The cost of an option, for a
+band, is the signatures that it makes, each at the price of a row and of comparisons with as many
+sets as may share it: the counted frequency that the level lets in. Each band takes its options
+from the cheapest on, and each set goes as far as the first that is enough: subsets, if more than H
+parts aren't empty; neighbourhoods, if parts of one shingle and twice those of more are more than
+H; with all shingles neighbourhoods take in empty parts too and always are, so a band's options end
+there. Every linked pair shares a signature: both sets go as far as the nearer of their ends, where
+one of them has enough. (Both sides must choose alike without seeing each other. So the choice is
+by band and set, not by segment.)
+
+Candidates: the members of one signature, in blocks of BLOCK, are compared by size and by parity
+bitmaps. A bitmap has a bit for each hash value, flipped by each shingle of it; bitmaps of sets that
+differ by d shingles differ in d bits at most. Pairs that differ in more than H bits can't link. Of
+the rest only a forest goes on, so no pair becomes a row, and groups with the same members are
+compared once. Its trees hold every link between them: each link is a candidate.
+
+Verification: the members of a tree are dealt into squads, a whole set goes once to each pair of
+squads that it is in, and the sizes of all intersections of a pair come from a product of incidence
+matrices: exact, for all pairs of a tree, candidates or not. Each class's links are counted there.
 """
 
 from __future__ import annotations
@@ -53,11 +58,15 @@ SIMILARITY = Fraction(4, 5)
 RATIO = 1.5
 #: Shares of texts that have a shingle, and their number at least, for it to be left out of a level's signatures.
 LEVELS, LEAST = (0.002, 0.008, 0.032, 0.128), 64
-#: Members of a group's largest component that those outside are verified against before all of other components.
-ANCHORS = 8
-#: Members of a group that one task verifies.
-CREW = 256
-#: Members of a component and their shingles, on average, in each of the two squads that one task compares; columns of one matrix product.
+#: The most frequent shingles that workers are told; others are left out nowhere, which costs comparisons but no link.
+COMMON = 1_000_000
+#: Price of a signature's row, in comparisons of two bitmaps.
+ROW = 200
+#: Members of a signature that are compared at once; words of bitmaps gathered at once.
+BLOCK, GATHER = 1024, 1 << 19
+#: Bits of a bitmap for each shingle, to the next power of two, and at most.
+BITS, MOST_BITS = 2, 1 << 17
+#: Members of a tree and their shingles, on average, in each of the two squads that one task compares; columns of one matrix product.
 SQUAD, SQUAD_SHINGLES, COLUMNS = 512, 500_000, 4096
 _STEPS = np.array([pow(kernel.BASE, k, 1 << 64) for k in range(64)], np.uint64)
 
@@ -85,9 +94,20 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the shingles at each hash value; the number of bits is a power of two. The halves of a bitmap, xored, are the bitmap of half as many bits."""
+    bits = min(max(64, 1 << int(BITS * len(s) - 1).bit_length()), MOST_BITS)
+    at = (kernel.mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
 class Schemes:
-    def __init__(self, t: Fraction):
+    """levels: from how many texts on a shingle is left out at each level; none is at the last, which this doesn't name."""
+
+    def __init__(self, t: Fraction, levels: list[float], texts: int):
         self.t, self.gap = t, (1 - t) / (1 + t)
+        self.shared = [*levels, texts]  # sets that may share a signature of each level
+        self.orders: dict[int, list[tuple[int, bool]]] = {}
 
     def differ(self, a: int, b: int) -> int:
         """Shingles by which linked sets of these sizes differ at most."""
@@ -102,27 +122,39 @@ class Schemes:
                 yield number, hi, self.differ(n, min(hi, int(n / self.t)))
             lo, number = hi + 1, number + 1
 
+    def parts(self, top: int, at: int, near: bool) -> int:
+        """Segments of an option."""
+        if not near:
+            return top + 3 + top // 8
+        return top // 2 + 1 if at == len(self.shared) - 1 else top * 2 // 3 + 3
+
+    def order(self, number: int, hi: int) -> list[tuple[int, bool]]:
+        """(level, neighbourhoods?) of a band's options, cheapest first, up to the one that is always enough."""
+        if number not in self.orders:
+            top, last = self.differ(hi, hi), (len(self.shared) - 1, True)
+            rows = {(at, near): self.parts(top, at, near) + (hi if near else 0) for at in range(len(self.shared)) for near in (False, True)}
+            cost = {k: n * (ROW + self.shared[k[0]]) for k, n in rows.items()}
+            self.orders[number] = [k for k in sorted(cost, key=lambda k: (cost[k], k)) if k != last and cost[k] <= cost[last]] + [last]
+        return self.orders[number]
+
     def signatures(self, s: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, bool]]:
         """(signatures, full?) of a set; level: from which level on each shingle counts."""
         out: list[tuple[np.ndarray, bool]] = []
+        whole = len(self.shared) - 1
         for number, hi, most in self.bands(len(s)):
             top = self.differ(hi, hi)
-            for at in range(len(LEVELS) + 1):
-                own = s if at == len(LEVELS) else s[level <= at]
-                scheme = (number * (len(LEVELS) + 1) + at) * 2
-                total, segment, value = self.segments(own, scheme, top + 3 + top // 8)
-                filled = np.unique(segment)
-                out.append((self.sign(total[filled], scheme, filled), True))
-                if len(filled) > most:
-                    break
-                whole = at == len(LEVELS)
-                total, segment, value = self.segments(own, scheme + 1, top // 2 + 1 if whole else top * 2 // 3 + 3)
+            for at, near in self.order(number, hi):
+                own = s if at == whole else s[level <= at]
+                scheme = (number * (whole + 1) + at) * 2 + near
+                total, segment, value = self.segments(own, scheme, self.parts(top, at, near))
                 size = np.bincount(segment, minlength=len(total))
-                filled = np.arange(len(total)) if whole else np.flatnonzero(size)
-                out.append((self.sign(total[filled], scheme + 1, filled), True))
-                less = np.ones(len(segment), bool) if whole else size[segment] > 1
-                out.append((self.sign(total[segment[less]] - value[less], scheme + 1, segment[less]), False))
-                if (size == 1).sum() + 2 * (size > 1).sum() > most:
+                every = near and at == whole
+                filled = np.arange(len(total)) if every else np.flatnonzero(size)
+                out.append((self.sign(total[filled], scheme, filled), True))
+                if near:
+                    less = np.ones(len(segment), bool) if every else size[segment] > 1
+                    out.append((self.sign(total[segment[less]] - value[less], scheme, segment[less]), False))
+                if every or (size > 0).sum() + near * (size > 1).sum() > most:
                     break
         return out
 
@@ -146,20 +178,21 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
     class_id: the least id of the same set. n_links: all other classes whose sets are similar
     enough. component_id: the least id reachable by links, the row's own included.
     Cases: a null or empty text, or one without words, is the empty set, linked with nothing, not
-    even with another empty set; a null id gets null class and component; repeated rows are one
-    class; rows that share an id but not a text count as one document; an empty table gives no
-    rows; further columns are not read.
+    even with another empty set; a null id gets null class and component, and its text counts for
+    no one's links; repeated rows are one class; rows that share an id but not a text are one
+    document, which has the links of all its texts and joins what they reach; an empty table gives
+    no rows; further columns are not read.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schemes = Schemes(similarity)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and the counts of shingles that may be common."""
+        """A row for each text, with a bitmap if the task hasn't seen the set yet, and the counts of shingles that may be common."""
         seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         size = texts = 0
         uniques, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        names = ["kind", "id", "n", "a", "b", "bits"]
 
         def fold() -> None:
             nonlocal uniques, counts, held, size
@@ -170,38 +203,42 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
             uniques, counts, held, size = u[total >= least], total[total >= least], [], 0
 
         for batch in batches:
-            ids, n, a, b = batch.column(0), [], [], []
-            for _, _, raw, bounds in kernel.slices(batch.column(1)):
-                for s in shingles(raw, bounds, words):
+            ids = batch.column(0)
+            for i, j, raw, bounds in kernel.slices(batch.column(1)):
+                n, a, b, bits = [], [], [], []
+                for r, s in enumerate(shingles(raw, bounds, words), i):
                     key = set_key(s) if len(s) else (0, 0)
                     n.append(len(s))
                     a.append(key[0])
                     b.append(key[1])
-                    if len(s) and key not in seen:
+                    bits.append(None)
+                    if len(s) and ids[r].is_valid and key not in seen:
                         seen.add(key)
                         held.append(s)
+                        bits[-1] = bitmap(s)
                         size += len(s)
                         texts += 1
-                if size > 2_000_000:
+                if size > 1_000_000:
                     fold()
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "id", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary())], names=names)
         if held:
             fold()
         least = max(3, int(LEVELS[0] / 2 * texts))
         u, c = uniques[counts >= least], counts[counts >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c), pa.array(u.view(np.int64)), pa.array(np.zeros(len(u), np.int64))], names=["kind", "id", "n", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c), pa.array(u.view(np.int64)), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary())], names=names)
 
-    scanned = scratch.keep(docs.mapInArrow(sets, "kind int, id long, n long, a long, b long"), "jaccard-sets")
+    scanned = scratch.keep(docs.mapInArrow(sets, "kind int, id long, n long, a long, b long, bits binary"), "jaccard-sets")
     every = scanned.filter("kind = 0").select("id", "n", "a", "b")
-    classes = scratch.keep(every.filter("n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("class_id"), F.max("n").alias("n")), "jaccard-classes")
-    texts = classes.count()
-    # at most sum(n) / (LEVELS[0] / 2 * texts) shingles, twice the mean size over LEVELS[0]
+    classes = scanned.filter("kind = 0 and n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("class_id"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "jaccard-classes")
+    texts = max(classes.count(), 1)
     hot = scanned.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, LEVELS[0] / 2 * texts))
-    found = hot.select("a", "n").collect()
+    found = hot.orderBy(F.desc("n"), "a").limit(COMMON).collect()
     common = np.array([r.a for r in found], np.int64).view(np.uint64)
     order = np.argsort(common)
-    from_level = 1 + np.searchsorted(np.array(LEVELS[1:]) * max(texts, 1), np.array([r.n for r in found], float)[order], "right") if found else np.empty(0, np.int64)
+    from_level = 1 + np.searchsorted(np.array(LEVELS[1:]) * texts, np.array([r.n for r in found], float)[order], "right") if found else np.empty(0, np.int64)
     shared = spark.sparkContext.broadcast((common[order], from_level))
+    schemes = Schemes(similarity, [max(LEAST, x * texts) for x in LEVELS], texts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -213,15 +250,15 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
 
         def flush() -> pa.RecordBatch:
             nonlocal sigs, full, owners, size
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(full)), pa.array(np.concatenate(owners))], names=["sig", "whole", "id"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(full)), pa.array(np.concatenate(owners))], names=["sig", "whole", "a"])
             sigs, full, owners, size = [], [], [], 0
             return out
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column(0)
             for i, _, raw, bounds in kernel.slices(batch.column(1)):
                 for r, s in enumerate(shingles(raw, bounds, words), i):
-                    if not len(s) or ids[r] is None or (key := set_key(s)) in seen:
+                    if not len(s) or not ids[r].is_valid or (key := set_key(s)) in seen:
                         continue
                     seen.add(key)
                     level = np.zeros(len(s), np.int64)
@@ -231,7 +268,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
                     for x, whole in schemes.signatures(s, level):
                         sigs.append(x)
                         full.append(np.full(len(x), whole))
-                        owners.append(np.full(len(x), ids[r], np.int64))
+                        owners.append(np.full(len(x), key[0], np.int64))
                         size += len(x)
                     if size > 200_000:
                         yield flush()
@@ -239,55 +276,24 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
             yield flush()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    signed = docs.mapInArrow(sign, "sig long, whole boolean, id long").repartition(parts, "sig").sortWithinPartitions("sig", F.col("whole").desc(), "id")
-    # groups of two texts or more, one of them full; then of two classes or more
-    met = scratch.keep(signed.mapInArrow(groups, "sig long, whole boolean, id long"), "jaccard-met")
-    # (a repeated id, which counts as one document, has its least class here)
-    class_of = every.filter("n > 0").join(classes.drop("n"), ["a", "b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    member = met.join(class_of, "id").groupBy("sig", F.col("class_id").alias("id")).agg(F.max("whole").alias("whole"))
-    member = scratch.keep(member, "jaccard-members")
+    signed = docs.mapInArrow(sign, "sig long, whole boolean, a long").repartition(parts, "sig").sortWithinPartitions("sig", "a", F.col("whole").desc())
+    blocks = scratch.keep(signed.mapInArrow(groups, "sig long, block int, hot boolean, members array<long>, wholes array<boolean>"), "jaccard-blocks")
     scratch.release(spark)
-    least = member.groupBy("sig").agg(F.min(F.when(F.col("whole"), F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1 and hub is not null")
-    least = scratch.keep(least, "jaccard-hubs")
-    member = member.join(least.select("sig"), "sig", "left_semi")
-    # texts of the classes that meet any other, fetched once for all rounds; a merge join, as it has to be at any large size
-    meeting = member.select("id").distinct().join(classes.select(F.col("class_id").alias("id"), "a"), "id")
-    docs = scratch.keep(docs.join(meeting.hint("merge"), "id").select("id", "text"), "jaccard-texts")
+    close = scratch.keep(candidates(blocks, classes, parts, similarity), "jaccard-close")
     scratch.release(spark)
-    tried = scratch.keep(member.join(least.select("sig", "hub"), "sig").filter("id != hub").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct(), "jaccard-star")
-    links = scratch.keep(verify(docs, classes, tried, words, similarity), "jaccard-links")
-    scratch.release(spark)
-    label = scratch.keep(components(links), "jaccard-components")
-
-    for anchors in (ANCHORS, None):
-        at = member.join(label, "id", "left").select("sig", "id", "whole", F.coalesce("component", "id").alias("component"))
-        sized = at.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-        split = sized.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("sig", F.col("top.component").alias("top"))
-        apart = scratch.keep(at.join(split, "sig"), "jaccard-apart")
-        if apart.isEmpty():
-            break
-        minor = apart.filter("component != top").select("sig", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("whole").alias("wx"))
-        if anchors is not None:
-            # the least by each of several hashes: the groups that a set of near copies shares choose the same few
-            first = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(anchors)]
-            chosen = apart.filter("component = top and whole").groupBy("sig").agg(F.array_sort(F.array_distinct(F.array(*first))).alias("ys"))
-            across = minor.join(chosen, "sig").select("x", "ys").distinct().select("x", F.explode("ys").alias("y"))
-        else:
-            other = apart.select("sig", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("whole").alias("wy"))
-            across = minor.join(other, "sig").filter("cx != cy and (wx or wy)")
-        across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        rest = scratch.keep(across.join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
-        if rest.isEmpty():
-            continue
-        links = links.unionByName(scratch.keep(verify(docs, classes, rest, words, similarity), "jaccard-links"))
-        scratch.release(spark)
-        tried = tried.unionByName(rest)
-        label = scratch.keep(components(links), "jaccard-components")
-
-    degree = degrees(docs, classes, links, label, words, similarity)
-    named = classes.drop("n").join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-    named = scratch.keep(named, "jaccard-named")
-    out = every.filter("n > 0").join(named, ["a", "b"], "left").unionByName(every.filter("n = 0"), allowMissingColumns=True)
+    tree = components(close)
+    exact = scratch.keep(verify(docs, classes, tree, parts, words, similarity), "jaccard-exact")
+    degree = exact.filter("kind = 0").groupBy(F.col("x").alias("class")).agg(F.sum("y").alias("n_links"))
+    links = exact.filter("kind = 1").select("x", "y")
+
+    # a document of several texts joins the classes of all of them
+    several = every.filter("id is not null").groupBy("id").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).filter("lo != hi").select("id")
+    named = classes.select("class", "class_id", "a", "b")
+    joint = every.filter("n > 0").join(several, "id").join(named, ["a", "b"]).select(F.col("id").alias("x"), F.col("class_id").alias("y"))
+    label = scratch.keep(components(links.unionByName(joint)), "jaccard-components")
+    named = named.join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class", "left")
+    named = scratch.keep(named.select("a", "b", "class_id", "component", "n_links"), "jaccard-named")
+    out = every.filter("n > 0").join(named, ["a", "b"], "left").unionByName(every.filter("n = 0").join(label, "id", "left"), allowMissingColumns=True)
     known = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -299,149 +305,253 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature, full ones first: those of signatures with several rows, the first of them full. Only the last row waits for the next batch."""
-    sig, whole, ids = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
-    joined, good = False, False  # whether the row that waits has the signature of one before, and whether that began full
+    """Of rows (sig, whole, a) sorted by sig, a and full ones first: the distinct members of each signature that has several, one of them full, in blocks of BLOCK. hot: one of several blocks, told from the first on."""
+    sig, whole, a = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+    hot_sig, block = None, 0  # the signature whose blocks have begun, its next block
+
+    def emit(sig: np.ndarray, whole: np.ndarray, a: np.ndarray, first: np.ndarray, end: np.ndarray, blocks: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        n = end - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        bounds = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[at])) for x in (a, whole)]
+        return pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(blocks.astype(np.int32)), pa.array(hot), *lists], names=["sig", "block", "hot", "members", "wholes"])
+
+    def closed(end: bool) -> Iterator[pa.RecordBatch]:
+        """What of the buffer is sure: all groups but the last one, and that one's whole blocks; all at the end."""
+        nonlocal sig, whole, a, hot_sig, block
+        keep = np.ones(len(sig), bool)
+        keep[1:] = (sig[1:] != sig[:-1]) | (a[1:] != a[:-1])
+        sig, whole, a = sig[keep], whole[keep], a[keep]
+        if not len(sig):
+            return
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        ends = np.append(first[1:], len(sig))
+        if not end:
+            rest, ends, first = first[-1], ends[:-1], first[:-1]
+        if len(first) and sig[first[0]] == hot_sig:  # the end of a hot group
+            yield emit(sig, whole, a, first[:1], ends[:1], np.array([block]), np.array([True]))
+            first, ends = first[1:], ends[1:]
+        full = np.concatenate([[0], np.cumsum(whole)])
+        good = (ends - first > 1) & (full[ends] > full[first])
+        for k in np.flatnonzero(good & (ends - first > BLOCK)):
+            cuts = np.arange(first[k], ends[k], BLOCK)
+            yield emit(sig, whole, a, cuts, np.minimum(cuts + BLOCK, ends[k]), np.arange(len(cuts)), np.ones(len(cuts), bool))
+        good &= ends - first <= BLOCK
+        if good.any():
+            first, ends = first[good], ends[good]
+            yield emit(sig, whole, a, first, ends, np.zeros(len(first)), np.zeros(len(first), bool))
+        if end:
+            return
+        sig, whole, a = sig[rest:], whole[rest:], a[rest:]
+        while len(sig) > BLOCK:
+            if sig[0] != hot_sig:
+                hot_sig, block = sig[0], 0
+            yield emit(sig, whole, a, np.array([0]), np.array([BLOCK]), np.array([block]), np.array([True]))
+            block += 1
+            sig, whole, a = sig[BLOCK:], whole[BLOCK:], a[BLOCK:]
+
     for batch in batches:
         sig = np.concatenate([sig, batch.column(0).to_numpy(zero_copy_only=False)])
         whole = np.concatenate([whole, batch.column(1).to_numpy(zero_copy_only=False)])
-        ids = np.concatenate([ids, batch.column(2).to_numpy(zero_copy_only=False)])
-        if len(sig) < 2:
-            good = good if joined else bool(whole[0]) if len(sig) else False
-            continue
-        same = sig[1:] == sig[:-1]
-        begins = np.concatenate([[not joined], ~same])
-        first = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
-        full = np.where(first >= 0, whole[np.maximum(first, 0)], good)
-        keep = full[:-1] & (same | np.concatenate([[joined], same[:-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (sig, whole, ids)], names=["sig", "whole", "id"])
-        sig, whole, ids, joined, good = sig[-1:], whole[-1:], ids[-1:], bool(same[-1]), bool(full[-1])
-    if joined and good:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, whole, ids)], names=["sig", "whole", "id"])
-
-
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs (x, y) of class ids whose sets are similar enough.
-
-    Pairs meet by x, in crews of about CREW; x's set goes to each of its crews first, and only it
-    is held while the members' sets stream by.
-    """
-    crews = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CREW).cast("int").alias("crews"))
-    heads = crews.select("x", F.explode(F.sequence(F.lit(0), F.col("crews") - 1)).alias("crew"), F.col("x").alias("id"))
-    members = pairs.join(crews, "x").select("x", F.pmod(F.xxhash64("y"), F.col("crews")).cast("int").alias("crew"), F.col("y").alias("id"))
-    wanted = heads.unionByName(members).join(classes.select(F.col("class_id").alias("id"), "a"), "id")
-    wanted = scratch.keep(wanted, "jaccard-wanted")
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, out, kept = batch.column(4).to_pylist(), [], []
-            for i, _, raw, bounds in kernel.slices(batch.column(3)):
-                for r, s in enumerate(shingles(raw, bounds, words), i):
-                    if len(s) and set_key(s)[0] == keys[r]:  # a text of the class, not another of its id
-                        kept.append(r)
-                        out.append(s.tobytes())
-            chosen = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(chosen) for i in range(3)), pa.array(out, pa.binary())], names=["x", "crew", "id", "members"])
-
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    filled = docs.join(wanted, "id").select("x", "crew", "id", "text", "a").mapInArrow(fill, "x long, crew int, id long, members binary")
-    met = filled.repartition(parts, "x", "crew").sortWithinPartitions("x", "crew", F.col("id") != F.col("x"), "id")
+        a = np.concatenate([a, batch.column(2).to_numpy(zero_copy_only=False)])
+        yield from closed(False)
+    yield from closed(True)
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its tree) for the nodes that aren't the least themselves."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            break
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def candidates(blocks: DataFrame, classes: DataFrame, parts: int, similarity: Fraction) -> DataFrame:
+    """(x, y): forests over the members of each signature whose sizes and bitmaps allow a link. Classes go by a; should two have the same, they count as one here."""
+    single = blocks.filter("not hot").groupBy("members", "wholes").agg(F.min("sig").alias("sig"))
+    many = blocks.filter("hot").select("sig", "block", "members", "wholes")
+    dealt = many.join(many.groupBy("sig").agg(F.max("block").alias("top")), "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "members", "wholes")
+    tasks = dealt.unionByName(single.select("sig", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), "members", "wholes"))
+    member = tasks.select("sig", "i", "j", "second", F.explode(F.arrays_zip("members", "wholes")).alias("m")).select("sig", "i", "j", "second", F.col("m.members").alias("a"), F.col("m.wholes").alias("whole"))
+    member = member.join(classes.select("a", "n", "bits"), "a").select("sig", "i", "j", "second", "a", "whole", "n", "bits")
+    met = member.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "second")
     num, den = similarity.numerator, similarity.denominator
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, np.empty(0, np.uint64)
-        for batch in batches:
-            xs, ys = [], []
-            for x, y, m in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                s = np.frombuffer(m.as_py(), np.uint64)
-                if x == y:
-                    head, own = x, s
-                    continue
-                if head != x:
-                    raise RuntimeError("a crew came without its head")
-                if min(len(s), len(own)) * den < num * max(len(s), len(own)):
-                    continue
-                both = len(s) + len(own) - len(np.union1d(s, own))
-                if both * den >= num * (len(s) + len(own) - both):
-                    xs.append(x)
-                    ys.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+        xs, ys, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+        def fold() -> None:
+            nonlocal xs, ys, size
+            x, y = forest(np.concatenate(xs), np.concatenate(ys))
+            xs, ys, size = [x], [y], 0
+
+        for rows in whole_tasks(batches, 3):
+            for x, y in allowed(rows, num, den):
+                xs.append(x)
+                ys.append(y)
+                size += len(x)
+                if size > 500_000:
+                    fold()
+            if len(xs[0]) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(xs[0]), pa.array(ys[0])], names=["x", "y"])
+                xs[0], ys[0] = np.empty(0, np.int64), np.empty(0, np.int64)
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array(xs[0]), pa.array(ys[0])], names=["x", "y"])
 
     return met.mapInArrow(compare, "x long, y long").distinct()
 
 
-def degrees(docs: DataFrame, classes: DataFrame, links: DataFrame, label: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(class_id, n_links): all links of each class in a component; links: those verified so far, each once.
+def whole_tasks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches that end where the first `keys` columns, by which the rows are sorted, change."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        same = np.all([c == c[-1] for c in columns], axis=0)
+        if same.all() and (not held or all(held[-1].column(k)[-1].as_py() == columns[k][-1] for k in range(keys))):
+            held.append(batch)
+            continue
+        last = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0]
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def allowed(rows: pa.RecordBatch, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members, by a, that one of them full, their sizes and their bitmaps allow to link. Of a task of two blocks only pairs across."""
+    sig, i, j, second, a, whole, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+    column = rows.column(7).cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    words = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
+    start = (bounds[:-1] - bounds[0]) // 8
+    length = np.diff(bounds) // 8
+
+    def half(r: np.ndarray, w: int) -> np.ndarray:
+        """The bitmaps of rows r, each folded to w words."""
+        at = start[r][:, None] + np.arange(w)
+        out = words[at]
+        for k in range(1, int(length[r].max()) // w):
+            long = length[r] > k * w
+            out[long] ^= words[at[long] + k * w]
+        return out
 
-    A squad's members go to its tasks with every squad of the component, its own included, as
-    many times as the component has squads.
+    first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    ends = np.append(first[1:], len(sig))
+    sizes = ends - first
+    end = np.repeat(ends, sizes)
+    others = np.repeat(ends - np.add.reduceat(second.astype(np.int64), first), sizes)  # first row of the second block
+    row = np.arange(len(sig))
+    begin = np.where(i == j, row + 1, np.where(second, end, others))
+    count = end - begin
+    total = np.concatenate([[0], np.cumsum(count)])
+    p = 0
+    while p < len(sig):
+        q = max(p + 1, int(np.searchsorted(total, total[p] + GATHER, "right")) - 1)
+        x = np.repeat(row[p:q], count[p:q])
+        y = np.arange(len(x)) - np.repeat(total[p:q] - total[p], count[p:q]) + np.repeat(begin[p:q], count[p:q])
+        p = q
+        fits = (whole[x] | whole[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+        x, y = x[fits], y[fits]
+        w = np.minimum(length[x], length[y])
+        for wide in np.unique(w).tolist():
+            at = np.flatnonzero(w == wide)
+            for k in range(0, len(at), max(1, GATHER // wide)):
+                u, v = x[at[k : k + max(1, GATHER // wide)]], y[at[k : k + max(1, GATHER // wide)]]
+                flips = np.bitwise_count(half(u, wide) ^ half(v, wide)).sum(axis=1, dtype=np.int64)
+                near = flips <= (den - num) * (n[u] + n[v]) // (den + num)
+                yield a[u[near]], a[v[near]]
+
+
+def verify(docs: DataFrame, classes: DataFrame, tree: DataFrame, parts: int, words: int, similarity: Fraction) -> DataFrame:
+    """kind 0: (class, how many of one squad's other classes it links to); kind 1: (class_id, class_id), forests over all links.
+
+    tree: (id, component), the a of the classes that may link. A squad's members go to its tasks
+    with every squad of the component, its own included, as many times as the component has squads.
     """
-    spark = docs.sparkSession
-    own = label.join(classes.select(F.col("class_id").alias("id"), "a", "n"), "id")
-    size = own.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    known = links.join(label, F.col("x") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("e"))
-    squads = F.greatest(F.ceil(F.col("m") / SQUAD), F.ceil(F.col("total") / SQUAD_SHINGLES)).cast("int")
-    unsure = scratch.keep(size.join(known, "component").filter("2 * e < m * (m - 1)").select("component", squads.alias("squads")), "jaccard-unsure")
-    member = own.join(unsure, "component").select("component", "squads", F.pmod(F.xxhash64("id"), F.col("squads")).cast("int").alias("squad"), "id", "a")
+    own = tree.select(F.col("id").alias("a"), "component").join(classes.drop("bits"), "a")
+    size = own.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SQUAD), F.ceil(F.sum("n") / SQUAD_SHINGLES)).cast("int").alias("squads"))
+    member = own.join(size, "component").select("component", "squads", F.pmod(F.xxhash64("class"), F.col("squads")).cast("int").alias("squad"), "class", F.col("class_id").alias("id"), "a", "b")
     member = scratch.keep(member, "jaccard-squads")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out, kept = batch.column(5).to_pylist(), [], []
-            for i, _, raw, bounds in kernel.slices(batch.column(4)):
+            keys = list(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True))
+            for i, j, raw, bounds in kernel.slices(batch.column(5)):
+                out, kept = [], []
                 for r, s in enumerate(shingles(raw, bounds, words), i):
-                    if len(s) and set_key(s)[0] == keys[r]:
+                    if len(s) and set_key(s) == keys[r]:  # a text of the class, not another of its id
                         kept.append(r)
                         out.append(s.tobytes())
-            chosen = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(chosen) for i in range(4)), pa.array(out, pa.binary())], names=["component", "squads", "squad", "id", "members"])
+                chosen = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(chosen) for i in range(5)), pa.array(out, pa.binary())], names=["component", "squads", "squad", "class", "id", "members"])
 
-    filled = docs.join(member, "id").select("component", "squads", "squad", "id", "text", "a").mapInArrow(fill, "component long, squads int, squad int, id long, members binary")
+    # a merge join, as it has to be at any large size
+    filled = docs.join(member.hint("merge"), "id").select("component", "squads", "squad", "class", "id", "text", "a", "b")
+    filled = filled.mapInArrow(fill, "component long, squads int, squad int, class long, id long, members binary")
     dealt = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squads") - 1)))
-    dealt = dealt.select("component", F.least("squad", "other").alias("i"), F.greatest("squad", "other").alias("j"), "squad", "id", "members")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    met = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "squad", "id")
+    dealt = dealt.select("component", F.least("squad", "other").alias("i"), F.greatest("squad", "other").alias("j"), "squad", "class", "id", "members")
+    met = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "squad", "class")
     num, den = similarity.numerator, similarity.denominator
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, sets, second = None, [], [], 0  # second: members of the task's first squad
-        done: list[tuple[int, int]] = []
+        task, names, ids, sets, second = None, [], [], [], 0  # second: members of the task's first squad
+        done: list[np.ndarray] = []
 
         def close() -> None:
-            if task is None:
+            if task is None or len(sets) < 2:
                 return
-            if task[1] == task[2]:
-                n = linked(sets, sets, num, den)
-                at = n.sum(axis=1) - n.diagonal()
+            cut = len(sets) if task[1] == task[2] else second
+            left, right = sets[:cut], sets if cut == len(sets) else sets[cut:]
+            n = linked(left, right, num, den)
+            if cut == len(sets):
+                np.fill_diagonal(n, 0)
+                links = n.sum(axis=1)
             else:
-                n = linked(sets[:second], sets[second:], num, den)
-                at = np.concatenate([n.sum(axis=1), n.sum(axis=0)])
-            done.extend(zip(ids, at.tolist(), strict=True))
+                links = np.concatenate([n.sum(axis=1), n.sum(axis=0)])
+            some = links > 0
+            done.append(np.stack([np.zeros(some.sum(), np.int64), np.array(names)[some], links[some]]))
+            u, v = np.nonzero(n)
+            own = np.array(ids)
+            x, y = forest(own[u], own[v + (0 if cut == len(sets) else cut)])
+            done.append(np.stack([np.ones(len(x), np.int64), x, y]))
 
         def flush() -> pa.RecordBatch:
             nonlocal done
-            out = pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], names=["class_id", "n"])
+            out = np.concatenate([np.empty((3, 0), np.int64), *done], axis=1)
             done = []
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(out[0].astype(np.int32)), pa.array(out[1]), pa.array(out[2])], names=["kind", "x", "y"])
 
         for batch in batches:
-            a, b, c, d, e = (batch.column(k).to_pylist() for k in range(5))
-            for key, squad, x, m in zip(zip(a, b, c, strict=True), d, e, batch.column(5), strict=True):
+            a, b, c, d, e, f = (batch.column(k).to_pylist() for k in range(6))
+            for key, squad, x, name, m in zip(zip(a, b, c, strict=True), d, e, f, batch.column(6), strict=True):
                 if key != task:
                     close()
-                    task, ids, sets, second = key, [], [], 0
-                if ids and ids[-1] == x:  # a repeated row
+                    task, names, ids, sets, second = key, [], [], [], 0
+                if names and names[-1] == x:  # a repeated row
                     continue
-                ids.append(x)
+                names.append(x)
+                ids.append(name)
                 sets.append(np.frombuffer(m.as_py(), np.uint64))
                 second += squad == key[1]
-            yield flush()
+            if done:
+                yield flush()
         close()
         yield flush()
 
-    counted = met.mapInArrow(count, "class_id long, n long")
-    sure = links.join(label, F.col("x") == F.col("id")).join(unsure, "component", "left_anti").select(F.explode(F.array("x", "y")).alias("class_id"), F.lit(1).cast("long").alias("n"))
-    return scratch.keep(counted.unionByName(sure).groupBy("class_id").agg(F.sum("n").alias("n_links")), "jaccard-degrees")
+    return met.mapInArrow(count, "kind int, x long, y long")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -449,14 +559,20 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     if not left or not right:
         return np.zeros((len(left), len(right)), np.int64)
     n = [np.array([len(s) for s in side]) for side in (left, right)]
-    shingle, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(n))
+    one = left is right or (len(left) == len(right) and all(x is y for x, y in zip(left, right, strict=True)))
+    sets = left if one else [*left, *right]
+    shingle, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # shingles of one set only are in no intersection but with itself
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = row[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     both = np.zeros((len(left), len(right)), np.int64)
-    for first in range(0, len(shingle), COLUMNS):
+    for first in range(0, int((times > 1).sum()), COLUMNS):
         a, b = np.searchsorted(column, [first, first + COLUMNS])
-        block = np.zeros((len(left) + len(right), min(COLUMNS, len(shingle) - first)), np.float32)
+        block = np.zeros((len(sets), COLUMNS), np.float32)
         block[row[a:b], column[a:b] - first] = 1
-        both += (block[: len(left)] @ block[len(left) :].T).astype(np.int64)
+        both += (block @ block.T if one else block[: len(left)] @ block[len(left) :].T).astype(np.int64)
     return (both * den >= num * (n[0][:, None] + n[1][None, :] - both)).astype(np.int64)

@@ -105,11 +105,68 @@ def test_numbers_of_links_against_brute_force(docs, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+def test_links_of_shared_ids_null_ids_and_empty_tables(spark, docs):
+    """Two texts of one id join what each reaches; also where the id is the least of both classes, and where one text is empty."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    near = lambda t: t.replace("30", "zz")
+    rows = [(5, base[0]), (5, base[1]), (6, near(base[0])), (7, near(base[1])), (7, near(base[1])), (9, base[2]), (9, None), (8, near(base[2])), (10, "alone"), (None, base[0]), (None, "zz"), (11, None)]
+    got = jaccard.link_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in got) == sorted([(5, 5, 56), (5, 5, 56), (6, 5, 56), (7, 5, 56), (7, 5, 56), (9, 8, 56), (9, 8, 0), (8, 8, 56), (10, 10, 1), (0, 0, 56), (0, 0, 1), (11, 11, 0)])
+    assert jaccard.link_sets(docs("a").filter(F.lit(False)), "doc_id", "text").count() == 0
+
+
+def test_blocks_of_signatures():
+    """Blocks hold each signature's distinct members once, whatever the batches; those without a full one or of one member are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    rows = sorted({(int(s), int(a), bool(rnd.random() < 0.4)) for s in range(40) for a in rnd.integers(0, 60, int(rnd.integers(1, 5)))} | {(50, a, a == 7) for a in range(3000)} | {(60, a, True) for a in range(1024)} | {(61, a, True) for a in range(1025)}, key=lambda r: (r[0], r[1], not r[2]))
+    want = {}
+    for s, a, w in rows:
+        want.setdefault(s, {}).setdefault(a, w)
+    want = {s: m for s, m in want.items() if len(m) > 1 and (any(m.values()) or len(m) > jaccard.BLOCK)}
+    for size in (1, 7, 700, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((s, w, a) for s, a, w in rows[k : k + size]), strict=True)], names=["sig", "whole", "a"]) for k in range(0, len(rows), size)]
+        got, blocks = {}, {}
+        for b in jaccard.groups(iter(batches)):
+            for r in b.to_pylist():
+                assert 0 < len(r["members"]) <= jaccard.BLOCK
+                blocks.setdefault(r["sig"], []).append((r["block"], r["hot"]))
+                got.setdefault(r["sig"], {}).update(zip(r["members"], r["wholes"], strict=True))
+        assert got == want
+        assert all([k for k, _ in sorted(x)] == list(range(len(x))) and {h for _, h in x} == {len(x) > 1} for x in blocks.values())
+
+
+def test_bitmaps_allow_every_link():
+    """Pairs over and under the similarity, in tasks of one block and of two, cut by batches at any place: all links are allowed, unlike sizes and far pairs aren't."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, rows, links = np.random.default_rng(5), [], set()
+    for task in range(30):
+        n = int(rnd.choice([3, 30, 33, 200, 3000]))
+        base = rnd.integers(0, 1 << 62, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[int(rnd.integers(0, n // 5 + 1)) :], rnd.integers(0, 1 << 62, int(rnd.integers(0, n // 6 + 1))).astype(np.uint64)])) for _ in range(6)]
+        two = task % 2
+        for k, s in enumerate(sets):
+            rows.append((task, 0, two, bool(two and k > 2), task * 10 + k, True, len(s), jaccard.bitmap(s)))
+            for m in range(k):
+                both = len(np.intersect1d(s, sets[m]))
+                if 5 * both >= 4 * (len(s) + len(sets[m]) - both) and (not two or (k > 2) != (m > 2)):
+                    links.add((task * 10 + m, task * 10 + k))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    for size in (1, 4, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + size], strict=True), kinds, strict=True)], names=list("abcdefgh")) for k in range(0, len(rows), size)]
+        got = {p for b in jaccard.whole_tasks(iter(batches), 3) for x, y in jaccard.allowed(b, 4, 5) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        assert links <= got and len(got) < len(links) + 0.5 * 15 * 30 and all(x // 10 == y // 10 for x, y in got)
+
+
 def test_signatures_cover_every_link():
     """Any two sets within the similarity share a signature, one of them full, whatever is common."""
     import numpy as np
 
-    rnd, schemes = np.random.default_rng(7), jaccard.Schemes(jaccard.SIMILARITY)
+    rnd, schemes = np.random.default_rng(7), jaccard.Schemes(jaccard.SIMILARITY, [64, 80, 320, 1280], 10_000)
     for _ in range(400):
         n = int(rnd.integers(1, 80))
         a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
