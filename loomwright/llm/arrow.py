@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomwright.llm import kernel
+
 #: Rows that a Python worker takes at a time; a text may be long.
 ROWS = 2_000
 
@@ -34,5 +36,6 @@ def add_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *make(batch)], names=[f.name for f in schema.fields])
+        kernel.relax()
 
     return df.mapInArrow(run, schema)

@@ -64,10 +64,10 @@ def careful() -> regex.Pattern:
     return regex.compile(pattern(ranges("L"), ranges("N")))
 
 
-#: Distinct pre-tokens whose ids a worker remembers; beyond that it forgets them all and starts anew.
-REMEMBERED = 400_000
+#: Bytes of distinct pre-tokens and their ids, and what Python adds to each, that a worker remembers; beyond that it forgets them all and starts anew.
+REMEMBERED, ENTRY = 32 << 20, 200
 #: Text bytes whose new pre-tokens are merged together.
-GATHER = 32 << 20
+GATHER = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,6 +99,7 @@ class Vocabulary:
         self.quick = regex.compile(pattern(r"\p{L}", r"\p{N}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs, or the number of merges where there is none."""
@@ -197,13 +198,16 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
         if not known:
             known.update({s: np.array([i], "<u4").tobytes() for s, i in self.special.items()})
         parts = [self.parts(t) for t in texts]
         fresh = list({w for p in parts for w in p} - known.keys())
-        known.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
+        made = self.merge([w.encode() for w in fresh])
+        known.update(zip(fresh, made, strict=True))
+        self.held += sum(map(len, fresh)) + sum(map(len, made)) + ENTRY * len(fresh)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:

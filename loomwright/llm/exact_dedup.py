@@ -7,9 +7,9 @@
 3. The salts' winners, at most `salts` for a content, meet by (digest, content).
 
 Cases: a null text counts as empty and all empty texts form a group; a null id never beats a
-known one (a group of null ids only keeps null, and none of its rows is marked kept unless it is
-alone); ties and repeated ids: every row holding the largest id is kept; an empty table gives no
-rows; further columns are ignored here and never clash, as only id and text are read.
+known one, and a group of null ids only keeps one of its rows; repeated rows: one of those that
+hold the largest id is kept; an empty table gives no rows; further columns are ignored here and
+never clash, as only id and text are read.
 """
 
 from __future__ import annotations
@@ -45,11 +45,12 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, normalise: Column | N
     content = F.coalesce(normalise if normalise is not None else F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), content.alias("content"))
     groups = scratch.keep(exact_groups(rows, salts).filter("group_size > 1"), "exact-groups")
-    named = rows.select("id", F.sha2("content", 256).alias("digest"))
-    return named.join(groups, "digest", "left").select(
+    named = rows.groupBy("id", F.sha2("content", 256).alias("digest")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    named = named.join(groups, "digest", "left").select("id", "digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), "times")).alias("nth"))
+    return named.select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("group_size").isNull() | (F.col("id") == F.col("keep_id")), F.lit(False)).alias("kept"),
+        ((F.col("nth") == 1) & (F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )

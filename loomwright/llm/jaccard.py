@@ -173,18 +173,21 @@ class Schemes:
 
 
 def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """One row per input row: id, n_shingles, class_id, component_id, n_links.
+    """One row per input row: id, text_hash, n_shingles, class_id, text_group, component_id, n_links.
 
-    class_id: the least id of the same set. n_links: all other classes whose sets are similar
-    enough. component_id: the least id reachable by links, the row's own included.
+    text_hash: xxhash64 of the text, to tell apart rows that share an id. class_id: the least id of
+    the same set. n_links: all other classes whose sets are similar enough. text_group: a number
+    for all texts that links between texts join. component_id: the least id reachable by links, the
+    row's own included.
     Cases: a null or empty text, or one without words, is the empty set, linked with nothing, not
-    even with another empty set; a null id gets null class and component, and its text counts for
+    even with another empty set, and of no group; a null id gets null class and component and no group, and its text counts for
     no one's links; repeated rows are one class; rows that share an id but not a text are one
     document, which has the links of all its texts and joins what they reach; an empty table gives
     no rows; further columns are not read.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, with a bitmap if the task hasn't seen the set yet, and the counts of shingles that may be common."""
@@ -192,7 +195,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
         held: list[np.ndarray] = []
         size = texts = 0
         uniques, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        names = ["kind", "id", "n", "a", "b", "bits"]
+        names = ["kind", "id", "n", "a", "b", "bits", "text_hash"]
 
         def fold() -> None:
             nonlocal uniques, counts, held, size
@@ -220,15 +223,16 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
                         texts += 1
                 if size > 1_000_000:
                     fold()
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), batch.column(2).slice(i, j - i)], names=names)
         if held:
             fold()
+        kernel.relax()
         least = max(3, int(LEVELS[0] / 2 * texts))
         u, c = uniques[counts >= least], counts[counts >= least]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c), pa.array(u.view(np.int64)), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(c), pa.array(u.view(np.int64)), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.int64())], names=names)
 
-    scanned = scratch.keep(docs.mapInArrow(sets, "kind int, id long, n long, a long, b long, bits binary"), "jaccard-sets")
-    every = scanned.filter("kind = 0").select("id", "n", "a", "b")
+    scanned = scratch.keep(hashed.mapInArrow(sets, "kind int, id long, n long, a long, b long, bits binary, text_hash long"), "jaccard-sets")
+    every = scanned.filter("kind = 0").select("id", "text_hash", "n", "a", "b")
     classes = scanned.filter("kind = 0 and n > 0 and id is not null").groupBy("a", "b").agg(F.min("id").alias("class_id"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "jaccard-classes")
     texts = max(classes.count(), 1)
@@ -274,6 +278,7 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
                         yield flush()
         if size:
             yield flush()
+        kernel.relax()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     signed = docs.mapInArrow(sign, "sig long, whole boolean, a long").repartition(parts, "sig").sortWithinPartitions("sig", "a", F.col("whole").desc())
@@ -286,19 +291,27 @@ def link_sets(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, sim
     degree = exact.filter("kind = 0").groupBy(F.col("x").alias("class")).agg(F.sum("y").alias("n_links"))
     links = exact.filter("kind = 1").select("x", "y")
 
-    # a document of several texts joins the classes of all of them
+    label = scratch.keep(components(links), "jaccard-components")
+    named = classes.select("class", "class_id", "a", "b").join(label.select(F.col("id").alias("class"), F.col("component").alias("text_group")), "class", "left").join(degree, "class", "left")
+    named = named.withColumn("text_group", F.coalesce("text_group", "class"))
+    least = named.groupBy("text_group").agg(F.min("class_id").alias("component"))
+    named = scratch.keep(named.join(least, "text_group"), "jaccard-named")
+    out = every.filter("n > 0").join(named.select("a", "b", "class_id", "text_group", "component", "n_links"), ["a", "b"], "left").unionByName(every.filter("n = 0"), allowMissingColumns=True)
+    # a document of several texts joins the groups of all of them
     several = every.filter("id is not null").groupBy("id").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).filter("lo != hi").select("id")
-    named = classes.select("class", "class_id", "a", "b")
-    joint = every.filter("n > 0").join(several, "id").join(named, ["a", "b"]).select(F.col("id").alias("x"), F.col("class_id").alias("y"))
-    label = scratch.keep(components(links.unionByName(joint)), "jaccard-components")
-    named = named.join(label.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class", "left")
-    named = scratch.keep(named.select("a", "b", "class_id", "component", "n_links"), "jaccard-named")
-    out = every.filter("n > 0").join(named, ["a", "b"], "left").unionByName(every.filter("n = 0").join(label, "id", "left"), allowMissingColumns=True)
+    several = scratch.keep(several, "jaccard-several")
+    if not several.isEmpty():
+        joint = out.join(several, "id").filter("component is not null").select(F.col("id").alias("x"), F.col("component").alias("y"))
+        joined = scratch.keep(components(named.select(F.col("class_id").alias("x"), F.col("component").alias("y")).unionByName(joint)), "jaccard-joined")
+        of_class, of_row = joined.select(F.col("id").alias("class_id"), F.col("component").alias("c")), joined.select("id", F.col("component").alias("d"))
+        out = out.join(of_class, "class_id", "left").join(of_row, "id", "left").withColumn("component", F.coalesce("c", "d", "component"))
     known = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
+        "text_hash",
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("class_id", "id")).alias("class_id"),
+        F.when(known, F.col("text_group")).alias("text_group"),
         F.when(known, F.coalesce("component", "class_id", "id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
@@ -476,7 +489,7 @@ def allowed(rows: pa.RecordBatch, num: int, den: int) -> Iterator[tuple[np.ndarr
 
 
 def verify(docs: DataFrame, classes: DataFrame, tree: DataFrame, parts: int, words: int, similarity: Fraction) -> DataFrame:
-    """kind 0: (class, how many of one squad's other classes it links to); kind 1: (class_id, class_id), forests over all links.
+    """kind 0: (class, how many of one squad's other classes it links to); kind 1: (class, class), forests over all links.
 
     tree: (id, component), the a of the classes that may link. A squad's members go to its tasks
     with every squad of the component, its own included, as many times as the component has squads.
@@ -488,26 +501,26 @@ def verify(docs: DataFrame, classes: DataFrame, tree: DataFrame, parts: int, wor
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True))
-            for i, j, raw, bounds in kernel.slices(batch.column(5)):
+            keys = list(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True))
+            for i, _, raw, bounds in kernel.slices(batch.column(4)):
                 out, kept = [], []
                 for r, s in enumerate(shingles(raw, bounds, words), i):
                     if len(s) and set_key(s) == keys[r]:  # a text of the class, not another of its id
                         kept.append(r)
                         out.append(s.tobytes())
                 chosen = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(chosen) for i in range(5)), pa.array(out, pa.binary())], names=["component", "squads", "squad", "class", "id", "members"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(chosen) for k in range(4)), pa.array(out, pa.binary())], names=["component", "squads", "squad", "class", "members"])
 
     # a merge join, as it has to be at any large size
-    filled = docs.join(member.hint("merge"), "id").select("component", "squads", "squad", "class", "id", "text", "a", "b")
-    filled = filled.mapInArrow(fill, "component long, squads int, squad int, class long, id long, members binary")
+    filled = docs.join(member.hint("merge"), "id").select("component", "squads", "squad", "class", "text", "a", "b")
+    filled = filled.mapInArrow(fill, "component long, squads int, squad int, class long, members binary")
     dealt = filled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("squads") - 1)))
-    dealt = dealt.select("component", F.least("squad", "other").alias("i"), F.greatest("squad", "other").alias("j"), "squad", "class", "id", "members")
+    dealt = dealt.select("component", F.least("squad", "other").alias("i"), F.greatest("squad", "other").alias("j"), "squad", "class", "members")
     met = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "squad", "class")
     num, den = similarity.numerator, similarity.denominator
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, names, ids, sets, second = None, [], [], [], 0  # second: members of the task's first squad
+        task, names, sets, second = None, [], [], 0  # second: members of the task's first squad
         done: list[np.ndarray] = []
 
         def close() -> None:
@@ -524,7 +537,7 @@ def verify(docs: DataFrame, classes: DataFrame, tree: DataFrame, parts: int, wor
             some = links > 0
             done.append(np.stack([np.zeros(some.sum(), np.int64), np.array(names)[some], links[some]]))
             u, v = np.nonzero(n)
-            own = np.array(ids)
+            own = np.array(names)
             x, y = forest(own[u], own[v + (0 if cut == len(sets) else cut)])
             done.append(np.stack([np.ones(len(x), np.int64), x, y]))
 
@@ -535,21 +548,21 @@ def verify(docs: DataFrame, classes: DataFrame, tree: DataFrame, parts: int, wor
             return pa.RecordBatch.from_arrays([pa.array(out[0].astype(np.int32)), pa.array(out[1]), pa.array(out[2])], names=["kind", "x", "y"])
 
         for batch in batches:
-            a, b, c, d, e, f = (batch.column(k).to_pylist() for k in range(6))
-            for key, squad, x, name, m in zip(zip(a, b, c, strict=True), d, e, f, batch.column(6), strict=True):
+            a, b, c, d, e = (batch.column(k).to_pylist() for k in range(5))
+            for key, squad, x, m in zip(zip(a, b, c, strict=True), d, e, batch.column(5), strict=True):
                 if key != task:
                     close()
-                    task, names, ids, sets, second = key, [], [], [], 0
+                    task, names, sets, second = key, [], [], 0
                 if names and names[-1] == x:  # a repeated row
                     continue
                 names.append(x)
-                ids.append(name)
                 sets.append(np.frombuffer(m.as_py(), np.uint64))
                 second += squad == key[1]
             if done:
                 yield flush()
         close()
         yield flush()
+        kernel.relax()
 
     return met.mapInArrow(count, "kind int, x long, y long")
 

@@ -6,12 +6,14 @@ is bounded by the largest single text and not by the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 512 << 10
 #: Odd multiplier of the polynomial word hash, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -110,6 +112,18 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
+@lru_cache(1)
+def _trim():  # noqa: ANN202
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def relax() -> None:
+    """Give freed memory back to the system: a worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null rows are empty."""
     return column.fill_null("").to_pylist()

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, decontaminate, exact_dedup, jaccard, licenses, quality, secret_scan, shards, toxicity, warc
 
 
-#: Where the public vocabulary files are; every worker has them there.
-TOKENIZERS = "/opt/tokenizers"
+#: The public vocabulary file; every worker has it there.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 HELD_OUT = 2
 
 
@@ -59,7 +59,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.round_trip(docs, "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"), keep=["doc_id"])
+    return bpe.round_trip(docs, "text", VOCABULARY, keep=["doc_id"])
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

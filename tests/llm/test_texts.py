@@ -10,9 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, licenses, quality, secret_scan, toxicity
-from loomwright.llm.queries import TOKENIZERS
+from loomwright.llm.queries import VOCABULARY
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
 
 
