@@ -64,7 +64,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.read_archive(spark, *warc.write_archive(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
-    return archive.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.contents(warc.records(archive)).withColumnRenamed("id", "page_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

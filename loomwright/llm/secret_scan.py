@@ -79,10 +79,23 @@ def scan_ledger(blobs: DataFrame, ledger: DataFrame | None = None, rules: list[R
     return todo.select("blob", F.explode(F.array(*rows)).alias("row")).filter("row is not null").select("blob", "row.*")
 
 
-def blobs_of(df: DataFrame, text_col: str) -> DataFrame:
-    """Each distinct content once: blob, text. Content is part of the key, so a copy is dropped only after a full comparison, within its task before any shuffle."""
+def blobs_of(df: DataFrame, text_col: str, ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
+    """Each distinct content once: blob, text. Content is part of the key, so a copy is dropped only after a full comparison, within its task before any shuffle.
+
+    With a ledger, blobs that it has for every rule version are dropped by their digests, before
+    any text is shuffled on: only the digests of the ledger's complete blobs travel to the texts.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
+    blobs = df.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
+    if ledger is not None:
+        current = F.lit(False)
+        for r in rules or RULES:
+            current = current | ((F.col("rule") == r.name) & (F.col("version") == r.version))
+        done = ledger.filter(current).groupBy("blob").agg(F.countDistinct("rule", "version").alias("n")).filter(F.col("n") == len(rules or RULES)).select("blob")
+        digests = df.select(F.sha2(text, 256).alias("blob")).distinct()
+        unseen = scratch.keep(digests.join(done, "blob", "left_anti"), "secret-unseen")
+        blobs = blobs.join(unseen, "blob", "left_semi")
+    return blobs.distinct()
 
 
 def secret_scan(df: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +107,7 @@ def secret_scan(df: DataFrame, id_col: str, text_col: str, ledger: DataFrame | N
     columns are not read.
     """
     rules = rules or RULES
-    fresh = scratch.keep(scan_ledger(blobs_of(df, text_col), ledger, rules), "secret-ledger")
+    fresh = scratch.keep(scan_ledger(blobs_of(df, text_col, ledger, rules), ledger, rules), "secret-ledger")
     known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans"))
     current = F.lit(False)
     order = F.lit(0)

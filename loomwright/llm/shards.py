@@ -10,13 +10,19 @@ dimension, then the bin that holds the quantile into BINS finer ones. The driver
 shards * BINS sums a pass. Within equal metadata the order is that of a hash, so a cut can fall
 anywhere.
 
-Units heavier than `heavy` of a shard are at most shards / heavy. They are placed first, the
-heaviest into the emptiest shard, and leave their leaves that much less to fill. A group of equal
-texts above 1 + SLACK of a whole shard can't stay together and is dealt in pieces by id hash.
+The tree takes every unit but those that alone exceed a leaf, fewer than `shards`; these are placed
+first, the heaviest into the emptiest shard, and leave their leaves that much less to fill. A group
+of equal texts above 1 + SLACK of a whole shard can't stay together and is dealt in pieces by id
+hash, each PIECE of a shard, which the tree takes as it does other units.
+
+A cut falls between two units, so leaves differ by parts of a unit. At the end a few units move from
+the fullest leaves to the emptiest ones; the driver chooses them among MOVABLE of each leaf and power
+of two of bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -27,8 +33,10 @@ from pyspark.sql import Window as W
 from loomwright.llm import scratch
 
 BINS = 4096
-HEAVY = 0.01
+PIECE = 0.01
 SLACK = 0.10
+#: Units of a leaf and power of two that may move, and the share of a shard below which a difference stays.
+MOVABLE, EVEN = 8, 0.001
 #: Rows that one task numbers within a shard.
 RUN = 20_000
 SPAN = 1 << 16
@@ -126,7 +134,42 @@ def kd_tree(units: DataFrame, dims: list[str], shards: int, quota: list[float])
     return tree
 
 
-def shard_documents(df: DataFrame, id_col: str, text_col: str, metadata: list[Column], shards: int = 24, overhead: int = 8, heavy: float = HEAVY) -> DataFrame:
+def settle(leaf: DataFrame, shards: int, heavy: dict[int, int], least: float) -> list[tuple[int, int, int, int]]:
+    """(hash, crc, piece, shard) of the units that are to move, so that the shards' bytes are nearly equal. heavy: bytes of each shard that the tree didn't deal."""
+    load = [heavy[s] for s in range(shards)]
+    for r in leaf.groupBy("shard").agg(F.sum("weight").alias("weight")).collect():
+        load[r.shard] += r.weight
+    order = F.xxhash64("hash", "piece", F.lit(5))
+    unit = F.struct("weight", "hash", "crc", "piece")
+    some = leaf.groupBy("shard", F.floor(F.log2("weight")).alias("size"), F.pmod(order, F.lit(MOVABLE)).alias("of")).agg(F.min_by(unit, order).alias("unit")).collect()  # at most shards * 64 * MOVABLE rows
+    free: dict[int, list[tuple[int, int, int, int]]] = {s: [] for s in range(shards)}
+    for r in some:
+        free[r["shard"]].append(tuple(r["unit"]))
+    moved: dict[tuple[int, int, int], int] = {}
+    while True:
+        full, empty = max(range(shards), key=lambda s: (load[s], s)), min(range(shards), key=lambda s: (load[s], s))
+        gap = load[full] - load[empty]
+        # a unit goes over, against a lighter one or none
+        back = [(0, 0, 0, 0), *sorted(free[empty])]
+        weights = [u[0] for u in back]
+        swaps = []
+        for u in free[full]:
+            at = bisect.bisect_left(weights, u[0] - gap / 2)
+            swaps += [(abs(gap / 2 - (u[0] - v[0])), u, v) for v in back[max(0, at - 1) : at + 1] if 0 < u[0] - v[0] < gap]
+        if gap <= least or not swaps:
+            break
+        _, u, v = min(swaps)
+        for x, a, b in ((u, full, empty), (v, empty, full)):
+            if x[0]:
+                free[a].remove(x)
+                free[b].append(x)
+                load[a] -= x[0]
+                load[b] += x[0]
+                moved[x[1:]] = b
+    return [(*k, s) for k, s in moved.items()]
+
+
+def shard_documents(df: DataFrame, id_col: str, text_col: str, metadata: list[Column], shards: int = 24, overhead: int = 8) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot.
 
     metadata: numeric expressions, the tree's dimensions; a group of equal texts takes its least
@@ -147,7 +190,7 @@ def shard_documents(df: DataFrame, id_col: str, text_col: str, metadata: list[Co
 
     # A hash shared by two texts only makes them one group.
     grouped = rows.groupBy("hash", "crc").agg(F.sum("size").alias("weight"), *[F.min(m).alias(m) for m in own])
-    giants = [(r.hash, r.crc, math.ceil(r.weight / (heavy * target))) for r in grouped.filter(F.col("weight") > (1 + SLACK) * target).collect()]  # fewer than `shards`
+    giants = [(r.hash, r.crc, math.ceil(r.weight / (PIECE * target))) for r in grouped.filter(F.col("weight") > (1 + SLACK) * target).collect()]  # fewer than `shards`
     piece = F.lit(0).cast("long")
     for h, c, n in giants:
         piece = F.when((F.col("hash") == h) & (F.col("crc") == c), F.pmod(F.xxhash64("id"), F.lit(n))).otherwise(piece)
@@ -164,7 +207,7 @@ def shard_documents(df: DataFrame, id_col: str, text_col: str, metadata: list[Co
         keys.append((scaled.cast("long") * SPAN + F.pmod(F.xxhash64("hash", "piece", F.lit(i)), F.lit(SPAN))).alias(f"d{i}"))
     keyed = units.select("hash", "crc", "piece", "weight", *keys)
 
-    large = keyed.filter(F.col("weight") > heavy * target).select("hash", "crc", "piece", "weight").collect()  # fewer than shards / heavy
+    large = keyed.filter(F.col("weight") > target).select("hash", "crc", "piece", "weight").collect()  # fewer than `shards`
     quota, placed = [target] * shards, []
     heap = [(0, s) for s in range(shards)]
     for r in sorted(large, key=lambda r: (-r.weight, r.hash, r.crc, r.piece)):
@@ -173,13 +216,17 @@ def shard_documents(df: DataFrame, id_col: str, text_col: str, metadata: list[Co
         quota[s] = max(0.0, target - load - r.weight)
         placed.append((r.hash, r.crc, r.piece, s))
 
-    light = keyed.filter(F.col("weight") <= heavy * target)
+    light = keyed.filter(F.col("weight") <= target)
     tree = kd_tree(light, dims, shards, quota)
-    leaf = light.select("hash", "crc", "piece", tree.place(dims).alias("n"))
-    tree_units = leaf.select("hash", "crc", "piece", F.expr(f"element_at({literals([lo for lo, _ in tree.span], 'int')}, n + 1)").alias("shard"))
+    leaf = light.select("hash", "crc", "piece", "weight", tree.place(dims).alias("n"))
+    leaf = leaf.select("hash", "crc", "piece", "weight", F.expr(f"element_at({literals([lo for lo, _ in tree.span], 'int')}, n + 1)").alias("shard"))
+    leaf = scratch.keep(leaf, "shard-leaves")
+    heavy = {s: sum(r.weight for r, p in zip(sorted(large, key=lambda r: (-r.weight, r.hash, r.crc, r.piece)), placed, strict=True) if p[3] == s) for s in range(shards)}
+    moved = settle(leaf, shards, heavy, EVEN * target)
     spark = df.sparkSession
-    fixed = spark.createDataFrame(placed, "hash long, crc long, piece long, shard int") if placed else None
-    of_unit = scratch.keep(tree_units.unionByName(fixed) if placed else tree_units, "shard-of-unit")
+    fixed = spark.createDataFrame([*placed, *moved], "hash long, crc long, piece long, to int")
+    of_unit = keyed.select("hash", "crc", "piece").join(leaf.select("hash", "crc", "piece", "shard"), ["hash", "crc", "piece"], "left").join(F.broadcast(fixed), ["hash", "crc", "piece"], "left")  # at most `shards` rows and those that move
+    of_unit = scratch.keep(of_unit.select("hash", "crc", "piece", F.coalesce("to", "shard").alias("shard")), "shard-of-unit")
 
     # Slots: runs of about RUN rows are counted, the counts summed up, the rows numbered by run.
     runs = max(64, math.ceil(count / shards / RUN))

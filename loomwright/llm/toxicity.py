@@ -5,6 +5,9 @@ to one of BUCKETS embeddings. A word's vector is the mean of its bag, a text's v
 its words, and a softmax over two classes reads it. Embeddings and softmax are trained together.
 A misspelt word shares most n-grams, and so most of its vector, with the word meant.
 
+All n-grams are trained, but one that tells little of the labels is trusted less: its vector is
+scaled down, so it learns slowly and texts aren't learnt by heart from rare words.
+
 As the classifier is linear, a trained model scores by one number for each bucket: a text's logit
 is the mean, over its words, of the means over their bags. All of a text's words count.
 """
@@ -32,10 +35,10 @@ TRAIN_BYTES = 12 << 20
 #: Bytes of texts whose features are worked out together.
 TRAIN_SLICE = 1 << 19
 SEED = 20_240_601
-#: A bucket is trained on if this many texts have it; what fewer have only helps to learn them by heart.
-LEAST = 10
-#: What it must have to do with the labels, and how many buckets are trained on at least.
-CHI_SQUARE, KEEP = 15.0, 512
+#: The chi-square from which a bucket is trusted in full, and the trust in one that tells nothing: its vector is scaled so, and learns as much slower.
+CHI_SQUARE, LEAST_TRUST = 30.0, 0.01
+#: Features worked on at a time.
+STEP = 400_000
 #: Means are this much longer than plain ones, for a word in a thousand to count.
 SCALE = 100.0
 RATE, DECAY = 0.05, 2e-5
@@ -86,10 +89,9 @@ class Bag(NamedTuple):
 
 
 def means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Mean of each run of rows; 0 for an empty one."""
+    """Mean of each run of numbers, summed up by itself and in order, so that it doesn't depend on its neighbours; 0 for an empty one."""
     size = np.diff(first)
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return (total[first[1:]] - total[first[:-1]]) / np.maximum(size, 1).reshape(-1, *[1] * (values.ndim - 1))
+    return np.bincount(np.repeat(np.arange(len(size)), size), values, len(size)) / np.maximum(size, 1)
 
 
 def texts_features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,25 +108,13 @@ def texts_features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield bucket, np.bincount(back, part, len(bucket))
 
 
-def telling(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Buckets of at least LEAST texts whose presence and label have a chi-square of at least CHI_SQUARE; the best KEEP ones in any case."""
-    every, ones = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for (bucket, _), y in zip(texts_features(texts), labels, strict=True):
-        every[bucket] += 1
-        ones[bucket] += y
-    n, positive = len(labels), labels.sum()
+def reliance(every: np.ndarray, ones: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """How far each bucket is trusted, LEAST_TRUST to 1, by the chi-square of its presence (in every[b] texts, ones[b] of label 1) and the label."""
     expected = every * positive / n
     spread = expected * (1 - positive / n) * (1 - every / n)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((every >= LEAST) & (spread > 0), (ones - expected) ** 2 / spread, 0)
-    return chi >= min(CHI_SQUARE, max(np.sort(chi)[-KEEP], 1e-9))
-
-
-def shares(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, weight in the text's mean) of the buckets that tell something of the labels."""
-    keep = telling(texts, labels)
-    out = [(b[keep[b]], v[keep[b]]) for b, v in texts_features(texts)]
-    return np.repeat(np.arange(len(labels)), [len(b) for b, _ in out]), np.concatenate([b for b, _ in out]), np.concatenate([v for _, v in out])
+        chi = np.where(spread > 0, (ones - expected) ** 2 / spread, 0.0)
+    return np.clip((chi / CHI_SQUARE) ** 2, LEAST_TRUST, 1.0)
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -133,40 +123,46 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if not len(labels) or share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), prior)
-    text, bucket, value = shares(texts, labels)
-    value = value * SCALE
-    used, bucket = np.unique(bucket, return_inverse=True)
-    first = np.searchsorted(text, np.arange(len(labels) + 1))
-    by = np.argsort(bucket, kind="stable")
-    text_by, value_by = text[by], value[by, None]
-    bucket_first = np.searchsorted(bucket[by], np.arange(len(used) + 1))
-    target = np.stack([1 - labels, labels], axis=1)
+    found = [(b.astype(np.int32), v.astype(np.float32)) for b, v in texts_features(texts)]
+    size = np.array([len(b) for b, _ in found])
+    bucket, value = np.concatenate([b for b, _ in found]), np.concatenate([v for _, v in found]) * np.float32(SCALE)
+    del found
+    first = np.concatenate([[0], np.cumsum(size)])
+    every = np.bincount(bucket, minlength=BUCKETS).astype(float)
+    ones = np.bincount(bucket, np.repeat(labels, size), BUCKETS)
+    trust = reliance(every, ones, len(labels), labels.sum()).astype(np.float32)
+    used = np.flatnonzero(every)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    value *= trust[bucket]
+    bucket = place[bucket]
+    runs = [0]  # texts of about STEP features together
+    while runs[-1] < len(labels):
+        runs.append(max(runs[-1] + 1, int(np.searchsorted(first, first[runs[-1]] + STEP, "right")) - 1))
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.01, (len(used), DIMENSIONS))
     soft = rng.normal(0, 0.3, (DIMENSIONS, 2))
     bias = np.array([0.0, prior])
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, soft, bias)]
     rates = (RATE, RATE / 4, RATE)
-
-    def sums(v: np.ndarray, f: np.ndarray) -> np.ndarray:
-        out = np.add.reduceat(np.concatenate([v, np.zeros((1, v.shape[1]), v.dtype)]), np.minimum(f[:-1], len(v)))
-        out[f[1:] == f[:-1]] = 0
-        return out
-
     for t in range(1, epochs + 1):
-        mean = sums(e[bucket] * value[:, None], first)
-        z = mean @ soft + bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        dz = (p - target) / len(labels)
-        dmean = dz @ soft.T
-        grads = (sums(dmean[text_by] * value_by, bucket_first) + DECAY * e, mean.T @ dz + DECAY * soft, dz.sum(axis=0))
+        # the class difference is all that a softmax of two classes has; so one number for each bucket goes forwards and one back
+        lean = e @ (soft[:, 1] - soft[:, 0])
+        pull, missed = np.zeros(len(used)), 0.0
+        for a, b in zip(runs[:-1], runs[1:], strict=True):
+            at, part, owner = bucket[first[a] : first[b]], value[first[a] : first[b]], np.repeat(np.arange(b - a), size[a:b])
+            z = np.bincount(owner, lean[at] * part, b - a) + bias[1] - bias[0]
+            dz = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[a:b]) / len(labels)
+            pull += np.bincount(at, dz[owner] * part, len(used))
+            missed += dz.sum()
+        toward = e.T @ pull
+        grads = (np.outer(pull, soft[:, 1] - soft[:, 0]) + DECAY * e, np.stack([-toward, toward], axis=1) + DECAY * soft, np.array([-missed, missed]))
         for x, g, (m, v), rate in zip((e, soft, bias), grads, state, rates, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weight = np.zeros(BUCKETS)
-    weight[used] = SCALE * (e @ (soft[:, 1] - soft[:, 0]))
+    weight[used] = SCALE * trust[used] * (e @ (soft[:, 1] - soft[:, 0]))
     return Model(weight, float(bias[1] - bias[0]))
 
 

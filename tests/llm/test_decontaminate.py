@@ -58,5 +58,5 @@ def test_filter_and_empty_tables(spark, docs):
 
 
 def test_shift_tables_skip():
-    groups = D.compile_patterns([("1", "a b c d e f g h i j")])
+    groups = D.compile_patterns([("1", "a b c d e f g h i j")]).groups
     assert len(groups) == 1 and groups[0].m == 10 and groups[0].shift.max() == 8 and (groups[0].shift == 0).sum() == 1

@@ -306,3 +306,63 @@ def test_exact_dedup_keeps_one_of_null_ids_and_repeated_rows(spark):
     rows = [(None, "a"), (None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "c"), (1, "c")]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == sorted([(0, 0, 2, True), (0, 0, 2, False), (0, 1, 2, False), (1, 1, 2, True), (2, 2, 3, True), (2, 2, 3, False), (1, 2, 3, False)])
+
+
+def test_tree_against_brute_force(spark):
+    """Every leaf: cuts at the weighted median along the widest dimension, and units that settle make sizes nearly equal."""
+    rnd = random.Random(4)
+    rows = [(i, i * 7, 0, rnd.choice([10, 30, 200, 900]), rnd.randrange(1 << 30), rnd.randrange(1 << 36)) for i in range(700)]
+    units = spark.createDataFrame(rows, "hash long, crc long, piece long, weight long, d0 long, d1 long")
+    n = 6
+    whole = sum(r[3] for r in rows)
+    tree = shards.kd_tree(units, ["d0", "d1"], n, [whole / n] * n)
+    spans = dict(enumerate(lo for lo, _ in tree.span))
+    got = {r.hash: spans[r.n] for r in units.select("hash", tree.place(["d0", "d1"]).alias("n")).collect()}
+
+    def split(part, lo, hi):
+        if hi - lo == 1:
+            return {r[0]: lo for r in part}
+        widths = [max(r[d] for r in part) // shards.SPAN - min(r[d] for r in part) // shards.SPAN for d in (4, 5)]
+        d = 4 + widths.index(max(widths))
+        part, mid = sorted(part, key=lambda r: r[d]), (lo + hi) // 2
+        left, k = sum(r[3] for r in part) * (mid - lo) / (hi - lo), 0
+        while part[k][3] <= left:
+            left -= part[k][3]
+            k += 1
+        k += left > part[k][3] / 2
+        return split(part[:k], lo, mid) | split(part[k:], mid, hi)
+
+    want = split(rows, 0, n)
+    assert got == want
+    leaf = units.drop("d0", "d1").join(spark.createDataFrame(list(want.items()), "hash long, shard int"), "hash")
+    moved = shards.settle(leaf, n, dict.fromkeys(range(n), 0), 0.001 * whole / n)
+    load = Counter()
+    to = {k[0]: s for *k, s in moved}
+    for r in rows:
+        load[to.get(r[0], want[r[0]])] += r[3]
+    assert len(to) < len(rows) / 10 and max(load.values()) < 1.02 * min(load.values())
+
+
+def test_shards_are_near_equal_with_null_ids_metadata_and_repeated_rows(spark):
+    rnd = random.Random(2)
+    rows = [(i if i % 9 else None, "y" * rnd.randint(0, 400), None if i % 5 else f"s{i % 3}", None if i % 4 else i) for i in range(800)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string, n_chars long")
+    got = shards.shard_documents(df, "doc_id", "text", metadata(), shards=5).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert len(got) == 850 and set(size) == set(range(5)) and max(size.values()) < 1.02 * min(size.values())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(5))
+
+
+def test_warc_contents_come_from_the_record_bytes(spark):
+    pages = [(1, "u", "<p>é</p>"), (1, "u", "<p>é</p>"), (1, "v", "x"), (2, "u", "<p>é</p>"), (None, "w", "x"), (None, None, "only"), (4, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    written = warc.records(warc.read_archive(spark, *warc.write_archive(df, "page_id", "url", "html", date=F.lit("2024-05-06T07:08:09Z"))))
+    for r in written.collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        assert b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in head + b"\r\n" and rest.endswith(b"\r\n\r\n")
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", bytes(r.record))[1] for r in written.collect()]
+    assert len(set(ids)) == len(pages) - 1  # but for the row that is repeated
+    got = sorted((r.id or 0, r.payload_bytes, r.record_type, r.refers_to or 0, r.payload_digest == base64.b32encode(hashlib.sha1(b).digest()).decode()) for r in warc.contents(written).collect() for b in [{9: "<p>é</p>".encode(), 1: b"x", 4: b"only", 0: b""}[r.payload_bytes]])
+    assert got == sorted([(1, 9, "revisit", 2, True), (1, 9, "revisit", 2, True), (1, 1, "response", 0, True), (2, 9, "response", 0, True), (0, 1, "revisit", 1, True), (0, 4, "response", 0, True), (4, 0, "response", 0, True)])

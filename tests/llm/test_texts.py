@@ -155,3 +155,175 @@ def test_sample_is_bounded_and_leaves_the_held_out(spark, docs):
     assert len(ids) <= 20 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
     texts, _ = toxicity.sample(df, "doc_id", "text", labels, "doc_id", "toxic", most_bytes=30)
     assert sum(map(len, texts)) <= 30
+
+
+def mixed(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) % 2**64
+    return h ^ (h >> 31)
+
+
+def hashed_bytes(b):
+    """The polynomial hash of kernel.Words and of the n-grams, before mixing."""
+    from loomwright.llm import kernel
+
+    return sum((x + 1) * pow(kernel.BASE, k, 2**64) for k, x in enumerate(b)) % 2**64
+
+
+def plain_bag(word):
+    """Buckets of a word, in plain Python: itself, and its byte 3-, 4- and 5-grams with an end mark at either side."""
+    out, n = [mixed(hashed_bytes(word))], len(word)
+    for g in toxicity.GRAMS:
+        for a in range(-1, n + 2 - g):
+            b = a + g
+            h = hashed_bytes(word[max(a, 0) : min(b, n)]) + g + (a < 0) * 0x632BE59BD9B4E019 + (b > n) * 0x8CB92BA72F3D8DD7
+            out.append(mixed(h % 2**64))
+    return [x % toxicity.BUCKETS for x in out]
+
+
+def plain_words(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+
+
+def test_toxicity_against_plain_python():
+    """Features, training steps and scores, each text by itself; a text's score doesn't depend on those beside it."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    vocab = ["Stone", "river", "idiot", "moron", "a", "été", "x9", "cloud"]
+    texts = [" ".join(rnd.choices(vocab, k=rnd.randint(1, 12))) for _ in range(14)]
+    y = [float("idiot" in t or "moron" in t) for t in texts]
+    y[0], y[1] = 0.0, 1.0
+    features = []
+    for t in texts:
+        f, words = {}, plain_words(t)
+        for w in words:
+            bag = plain_bag(w)
+            for b in bag:
+                f[b] = f.get(b, 0) + 1 / len(bag) / len(words)
+        features.append(f)
+    for f, (b, v) in zip(features, toxicity.texts_features(texts), strict=True):
+        assert {k: pytest.approx(x, rel=1e-9) for k, x in f.items()} == dict(zip(b.tolist(), v.tolist(), strict=True))
+    n, positive = len(y), sum(y)
+    trust = {}
+    for b in {b for f in features for b in f}:
+        every, ones = sum(b in f for f in features), sum(t for f, t in zip(features, y, strict=True) if b in f)
+        expected = every * positive / n
+        spread = expected * (1 - positive / n) * (1 - every / n)
+        chi = (ones - expected) ** 2 / spread if spread > 0 else 0
+        trust[b] = min(1, max(toxicity.LEAST_TRUST, (chi / toxicity.CHI_SQUARE) ** 2))
+    used, dims = sorted(trust), range(toxicity.DIMENSIONS)
+    rng = np.random.default_rng(toxicity.SEED)
+    e = dict(zip(used, rng.normal(0, 0.01, (len(used), len(dims))).tolist(), strict=True))
+    soft, bias = rng.normal(0, 0.3, (len(dims), 2)).tolist(), [0.0, float(np.log((positive / n + 1e-3) / (1 - positive / n + 1e-3)))]
+    moments = {}
+
+    def adam(key, x, g, rate, t):
+        m, v = moments.get(key, (0.0, 0.0))
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        moments[key] = m, v
+        return x - rate * (m / (1 - 0.9**t)) / ((v / (1 - 0.99**t)) ** 0.5 + 1e-8)
+
+    for t in range(1, 5):
+        ge, gs, gb = {b: [toxicity.DECAY * x for x in e[b]] for b in used}, [[toxicity.DECAY * x for x in row] for row in soft], [0.0, 0.0]
+        for f, label in zip(features, y, strict=True):
+            mean = [sum(e[b][d] * v * toxicity.SCALE * trust[b] for b, v in f.items()) for d in dims]
+            z = [sum(mean[d] * soft[d][c] for d in dims) + bias[c] for c in (0, 1)]
+            p = [np.exp(x - max(z)) for x in z]
+            dz = [(p[c] / sum(p) - (label == c)) / n for c in (0, 1)]
+            for c in (0, 1):
+                gb[c] += dz[c]
+                for d in dims:
+                    gs[d][c] += mean[d] * dz[c]
+            for b, v in f.items():
+                for d in dims:
+                    ge[b][d] += v * toxicity.SCALE * trust[b] * (dz[0] * soft[d][0] + dz[1] * soft[d][1])
+        e = {b: [adam((b, d), e[b][d], ge[b][d], toxicity.RATE, t) for d in dims] for b in used}
+        soft = [[adam(("s", d, c), soft[d][c], gs[d][c], toxicity.RATE / 4, t) for c in (0, 1)] for d in dims]
+        bias = [adam(("b", c), bias[c], gb[c], toxicity.RATE, t) for c in (0, 1)]
+    m = toxicity.train(texts, np.array(y), epochs=4)
+    assert m.bias == pytest.approx(bias[1] - bias[0], rel=1e-4)
+    for b in used:
+        assert m.weight[b] == pytest.approx(toxicity.SCALE * trust[b] * sum(e[b][d] * (soft[d][1] - soft[d][0]) for d in dims), rel=1e-3, abs=1e-6)
+    together = toxicity.logits(pa.array([*texts, None, "..."]), m).tolist()
+    for t, z in zip(texts, together, strict=False):
+        words = plain_words(t)
+        assert z == pytest.approx(m.bias + sum(sum(m.weight[b] for b in plain_bag(w)) / len(plain_bag(w)) for w in words) / len(words), rel=1e-9)
+        assert z == toxicity.logits(pa.array([t]), m)[0]
+    assert together[-2:] == [m.bias] * 2
+
+
+def test_quality_against_plain_python():
+    """FTRL over the features of each text, in plain Python; scores as sparse dot products, whatever stands beside a text."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    vocab = ["Stone", "RIVER", "a,", "!!", "été", "x9", "cloud.", "good"]
+    texts = [" ".join(rnd.choices(vocab, k=rnd.randint(1, 15))) for _ in range(12)]
+    y = [float(i % 3 > 0) for i in range(12)]
+    rows = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        hashes, _, _ = quality.split(raw, np.array([0, len(raw)]))
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", t.encode())
+        plain = []
+        for w in tokens:
+            if not re.match(rb"[0-9A-Za-z\x80-\xff]", w):
+                plain.append(mixed(hashed_bytes(w)))
+                continue
+            big = len(re.findall(rb"[A-Z]", w))
+            plain.append(mixed((mixed(hashed_bytes(w.lower())) + (2 if big > 1 and 2 * big >= len(w) else int(big > 0))) % 2**64))
+        assert hashes.tolist() == plain
+        b, v, _ = quality.features(raw, np.array([0, len(raw)]))
+        ones = {}
+        for h in plain:
+            k = mixed((h + int(quality.ONE)) % 2**64 if (h + int(quality.ONE)) < 2**64 else (h + int(quality.ONE)) - 2**64)
+            k = mixed(k) % quality.BUCKETS
+            ones[k] = ones.get(k, 0) + 1
+        got = dict(zip(b.tolist(), v.tolist(), strict=False))
+        assert all(any(abs(x - (c / len(plain)) ** 0.5) < 1e-9 for x in v[b == k]) for k, c in ones.items())
+        rows.append([*zip(b.tolist(), v.tolist(), strict=True), (quality.BUCKETS, 1.0)])
+        assert got
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == quality.BUCKETS else quality.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    rng = np.random.default_rng(quality.SEED)
+    for _ in range(quality.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            w = [weight(i) for i, _ in rows[r]]
+            p = 1 / (1 + np.exp(-sum(a * x for a, (_, x) in zip(w, rows[r], strict=True))))
+            fresh = {}
+            for a, (i, x) in zip(w, rows[r], strict=True):
+                g = (p - y[r]) * x
+                fresh[i] = (z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA * a, n.get(i, 0.0) + g * g)
+            for i, (a, b) in fresh.items():
+                z[i], n[i] = a, b
+    m = quality.train(texts, np.array(y))
+    assert m.bias == pytest.approx(weight(quality.BUCKETS), rel=1e-9)
+    assert all(m.weight[i] == pytest.approx(weight(i), rel=1e-9, abs=1e-12) for row in rows for i, _ in row[:-1])
+    together = quality.logits(pa.array([*texts, None]), m)
+    for k, t in enumerate(texts):
+        assert together[k] == pytest.approx(m.bias + sum(m.weight[i] * x for i, x in rows[k][:-1]), rel=1e-9)
+        assert together[k] == quality.logits(pa.array([t]), m)[0]
+    assert together[-1] == m.bias
+
+
+def test_secret_increments_scan_only_what_the_ledger_lacks(spark, monkeypatch):
+    first = spark.createDataFrame([(1, "password = abcdef1"), (2, None), (None, "AKIA" + "A" * 16)], "doc_id long, text string")
+    more = first.unionByName(spark.createDataFrame([(4, "token: zzzzzz9"), (5, "password = abcdef1")], "doc_id long, text string"))
+    _, ledger = secret_scan.secret_scan(first, "doc_id", "text")
+    assert ledger.count() == 9
+    found, fresh = secret_scan.secret_scan(more, "doc_id", "text", ledger=ledger)
+    assert {r.rule for r in fresh.collect()} == {"assign", "access", "hex"} and fresh.count() == 3
+    whole, _ = secret_scan.secret_scan(more, "doc_id", "text")
+    key = lambda r: str(r)
+    assert sorted(found.collect(), key=key) == sorted(whole.collect(), key=key)
+    newer = [secret_scan.RULES[0]._replace(version=2), *secret_scan.RULES[1:]]
+    _, fresh = secret_scan.secret_scan(more, "doc_id", "text", ledger=ledger, rules=newer)
+    assert sorted((r.rule, r.version) for r in fresh.collect()) == sorted([("assign", 2)] * 4 + [("access", 1), ("hex", 1)])
+    assert secret_scan.secret_scan(first.filter("doc_id > 9"), "doc_id", "text", ledger=ledger)[0].count() == 0
