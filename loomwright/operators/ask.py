@@ -15,6 +15,10 @@ RAG_BASES = ("code", "docs", "memory")
 
 
 class Settings(NamedTuple):
+    #: The bases that are searched.
+    bases: tuple[str, ...] = RAG_BASES
+    #: On: nearest vectors only.
+    dense_only: bool = False
     top_k: int = 8
     candidates: int = 50
     #: Off: hits keep their fused order, all of them.
@@ -46,10 +50,13 @@ def ask(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: Data
     s = settings or Settings()
     asked = questions.select("qid", F.col("question").alias("text"), "vector")
     found = None
-    for base in RAG_BASES:
+    for base in s.bases:
         own = chunks.filter(F.col("base") == base)
         mine = vectors.join(own.select("id"), "id", "left_semi")
-        hit = S.hybrid(S.build_index(own, "id", "text"), mine, asked, s.top_k, s.candidates).select("qid", F.col("doc_id").alias("id"), "score")
+        if s.dense_only:
+            hit = S.knn(mine, asked, s.top_k).select("qid", "id", (F.col("score") / 30.5).alias("score"))
+        else:
+            hit = S.hybrid(S.build_index(own, "id", "text"), mine, asked, s.top_k, s.candidates).select("qid", F.col("doc_id").alias("id"), "score")
         found = hit if found is None else found.unionByName(hit)
     full = chunks.select("id", "base", "path", "start", "end", F.col("text").alias("snippet"))
     # fused scores are at most 1 / (k + 1): brought to 0 .. 0.5, the range of dense ones

@@ -16,7 +16,7 @@ from loomwright.rules import LOCK_FILES
 
 #: Packages and what they tell, by manager family: (family, package, kind, tag).
 TECHNOLOGIES = [
-    ("js", "react", "framework", "React"), ("js", "next", "framework", "Next.js"), ("js", "vue", "framework", "Vue"), ("js", "nuxt", "framework", "Nuxt"), ("js", "svelte", "framework", "Svelte"),
+    ("js", "react", "framework", "React"), ("js", "next", "framework", "Next.js"), ("js", "vue", "framework", "Vue.js"), ("js", "nuxt", "framework", "Nuxt"), ("js", "svelte", "framework", "Svelte"),
     ("js", "@angular/core", "framework", "Angular"), ("js", "express", "framework", "Express"), ("js", "fastify", "framework", "Fastify"), ("js", "@nestjs/core", "framework", "NestJS"),
     ("js", "tailwindcss", "tool", "Tailwind CSS"), ("js", "typescript", "tool", "TypeScript"), ("js", "vite", "tool", "Vite"), ("js", "webpack", "tool", "Webpack"), ("js", "eslint", "tool", "ESLint"),
     ("js", "prettier", "tool", "Prettier"), ("js", "jest", "tool", "Jest"), ("js", "vitest", "tool", "Vitest"), ("js", "prisma", "tool", "Prisma"), ("js", "redis", "service", "Redis"), ("js", "pg", "service", "PostgreSQL"),

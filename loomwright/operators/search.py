@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -14,16 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwright.functions import scoring
 from loomwright.functions.text import stemmed, terms
+from loomwright.sources.shared import keep
 
 #: Decimal places to which scores are rounded before ranking, so that ranks don't depend on the order of sums.
 PLACES = 6
 
 
 class Index(NamedTuple):
-    #: term, doc_id, tf
+    #: doc_id, length, terms: each text once, in the shared folder
+    tokens: DataFrame
+    #: term, doc_id, tf, length
     postings: DataFrame
-    #: doc_id, length
-    lengths: DataFrame
     #: n, total, mean: one row
     stats: DataFrame
 
@@ -35,18 +37,27 @@ def term_rows(docs: DataFrame, id_col: str, text_col: str, stem: bool = False, s
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, stem: bool = False) -> Index:
-    """Term frequencies, text lengths and corpus statistics. A text without terms has length 0 and counts for the mean."""
-    postings = term_rows(docs, id_col, text_col, stem).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    """Tokens, term frequencies and corpus statistics. Texts are read and split once; all else comes from the tokens. A text without terms has length 0 and counts for the mean."""
     found = terms(F.col(text_col))
-    lengths = docs.select(F.col(id_col).alias("doc_id"), F.size(stemmed(found) if stem else found).cast("long").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.avg("length").alias("mean"))
-    return Index(postings, lengths, stats)
+    tokens = docs.select(F.col(id_col).alias("doc_id"), (stemmed(found) if stem else found).alias("terms"))
+    tokens = keep(tokens.select("doc_id", F.size("terms").cast("long").alias("length"), "terms"), "tokens")
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.avg("length").alias("mean"))
+    return Index(tokens, frequencies(tokens.select("doc_id", "length", F.explode("terms").alias("term"))), stats)
+
+
+def frequencies(occurrences: DataFrame) -> DataFrame:
+    """term, doc_id, tf, length of (doc_id, length, term)."""
+    return occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+
+
+def term_counts(index: Index) -> DataFrame:
+    """term, df: each text counts once for each of its terms, without a row for each occurrence."""
+    return index.tokens.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_stats(index: Index) -> DataFrame:
     """term, df, idf."""
-    df = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(index.stats), how="cross").select("term", "df", scoring.idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
+    return term_counts(index).join(F.broadcast(index.stats), how="cross").select("term", "df", scoring.idf(F.col("n"), F.col("df")).alias("idf"))  # stats is one row
 
 
 def top_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -55,70 +66,94 @@ def top_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_search(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int, stem: bool = False) -> DataFrame:
-    """qid, doc_id, score, rank: the k best documents of each question.
+def bm25_scores(index: Index, questions: DataFrame, id_col: str, text_col: str, stem: bool = False) -> DataFrame:
+    """qid, doc_id, score of all documents that have a term of the question.
 
-    A term that a question repeats counts as often; unknown terms count for nothing. Postings are
-    read only for the questions' terms: idf is worked out for those alone.
+    A term that a question repeats counts as often; unknown terms count for nothing. Only the
+    questions' terms get postings: others are dropped before anything is shuffled, and what is
+    left is written once for both its readers.
     """
-    asked = term_rows(questions, id_col, text_col, stem).groupBy(F.col("doc_id").alias("qid"), "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = keep(term_rows(questions, id_col, text_col, stem).groupBy(F.col("doc_id").alias("qid"), "term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    occurrences = index.tokens.select("doc_id", "length", F.explode("terms").alias("term"))
+    wanted = keep(frequencies(occurrences.join(asked.select("term").distinct(), "term", "left_semi")), "wanted")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(index.stats)  # one row
     weighted = asked.join(df, "term").join(stats, how="cross").select("qid", "term", "times", "mean", scoring.idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = wanted.join(weighted, "term").join(index.lengths, "doc_id")
+    hits = wanted.join(weighted, "term")
     part = F.col("times") * scoring.bm25(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean"))
-    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score"))
-    return top_per(scored, "qid", "score", "doc_id", k)
+    return hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score"))
+
+
+def bm25_search(index: Index, questions: DataFrame, id_col: str, text_col: str, k: int, stem: bool = False) -> DataFrame:
+    """qid, doc_id, score, rank: the k best documents of each question."""
+    return top_per(bm25_scores(index, questions, id_col, text_col, stem), "qid", "score", "doc_id", k)
+
+
+#: Numbers of the questions' vectors that one pass over the vectors answers, questions multiplied at once, and differences held at once.
+PASS, BLOCK, HELD = 4 << 20, 1024, 1 << 21
 
 
-#: Questions that one pass over the vectors answers.
-BLOCK = 1024
+def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """A row for each question, a column for each vector."""
+    if metric == "l2":
+        out, step = np.empty((len(q), len(v))), max(1, HELD // max(1, q.size))
+        for at in range(0, len(v), step):
+            out[:, at : at + step] = -np.sqrt(((q[:, None, :] - v[None, at : at + step, :]) ** 2).sum(axis=2))
+    else:
+        out = q @ v.T
+        if metric == "cosine":
+            size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+            out = np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+    return np.round(out, PLACES) + 0.0
 
 
 def knn(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """vectors (id, vector), questions (qid, vector) -> qid, id, score, rank: exact search.
 
-    Questions go out in blocks of BLOCK, a bounded broadcast each; every task multiplies its
-    vectors with a block and hands on its k best for each question, so that the shuffle carries
-    k rows per task and question. metric: cosine, dot or l2 (minus the distance).
+    Questions go out by a hash of their id, about PASS numbers at a time, a bounded broadcast that
+    the driver forgets after its pass; every task multiplies its vectors with BLOCK questions at a
+    time and hands on its k best for each, so that the shuffle carries k rows per batch and
+    question. metric: cosine, dot or l2 (minus the distance). Null vectors are left out; vectors
+    that differ in length fail.
     """
     spark = vectors.sparkSession
-    asked = [(r.qid, r.vector) for r in questions.select("qid", "vector").filter("vector is not null").toLocalIterator()]
+    asked = questions.select("qid", "vector").filter("vector is not null")
+    passes = max(1, -(-(asked.agg(F.sum(F.size("vector"))).first()[0] or 0) // PASS))
     schema = T.StructType([T.StructField("qid", questions.schema["qid"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-    found = spark.createDataFrame([], schema)
-    for at in range(0, len(asked), BLOCK):
-        block = asked[at : at + BLOCK]
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
+    parts = []
+    for p in range(passes):
+        block = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p).collect()
+        shared = spark.sparkContext.broadcast(([r.qid for r in block], np.array([r.vector for r in block], np.float64)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            names, every = shared.value
             for batch in batches:
                 rows = batch.filter(batch.column(1).is_valid())
-                if not rows.num_rows:
+                if not rows.num_rows or not len(names):
                     continue
-                v = np.array(rows.column(1).to_pylist(), np.float64)
-                if metric == "l2":
-                    score = -np.sqrt(((q[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)) if v.size * len(q) < 1e8 else -np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T))
-                else:
-                    score = q @ v.T
-                    if metric == "cosine":
-                        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
-                        score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-                score = np.round(score, PLACES) + 0.0
+                v = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
                 own = np.array(rows.column(0).to_pylist())
-                for i in range(len(ids)):
-                    near = score[i]
-                    if len(near) > k:  # keep ties at the edge
-                        near = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])
-                    else:
-                        near = np.arange(len(near))
-                    near = near[np.lexsort((own[near], -score[i][near]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([ids[i]] * len(near), own[near].tolist(), score[i][near]), kinds, strict=True)], names=["qid", "id", "score"])
-
-        found = found.unionByName(vectors.select("id", "vector").mapInArrow(search, schema))
-    return top_per(found, "qid", "score", "id", k)
+                for at in range(0, len(names), BLOCK):
+                    ids = names[at : at + BLOCK]
+                    qids, found, values = [], [], []
+                    for i, score in enumerate(scores(every[at : at + BLOCK], v, metric)):
+                        if len(score) > k:  # keep ties at the edge
+                            near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                        else:
+                            near = np.arange(len(score))
+                        near = near[np.lexsort((own[near], -score[near]))][:k]
+                        qids += [ids[i]] * len(near)
+                        found += own[near].tolist()
+                        values.append(score[near])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((qids, found, np.concatenate(values)), kinds, strict=True)], names=["qid", "id", "score"])
+
+        best = vectors.select("id", "vector").mapInArrow(search, schema)
+        if passes > 1:
+            best = keep(best, "knn")
+            shared.unpersist()
+        parts.append(best)
+    return top_per(reduce(DataFrame.unionByName, parts), "qid", "score", "id", k)
 
 
 def vector_filter(base: str | None = None, branch: str | None = None, source_type: str | None = None, path_prefix: str | None = None, tags: list[str] | None = None, revision_id: str | None = None) -> Column:

@@ -72,7 +72,7 @@ def commit(store: Store, files: DataFrame, pending: DataFrame, message: str, at:
     m = model or Model()
     meta = spark.createDataFrame([(m.name, m.dimensions)], "model string, dimensions int")
     store.write({
-        "chunks": whole, "vectors": whole.select("id", embed("text").alias("vector"), "base", "branch", F.col("file_path").alias("path")), "postings": index.postings, "doc_stats": index.lengths,
+        "chunks": whole, "vectors": whole.select("id", embed("text").alias("vector"), "base", "branch", F.col("file_path").alias("path")), "postings": index.postings.select("term", "doc_id", "tf"), "doc_stats": index.tokens.select("doc_id", "length"),
         "nodes": nodes, "meta": meta, "timeline": entry if timeline is None else timeline.unionByName(entry),
     })
     after = staging.update_status(pending, checked.select("id", F.when(F.col("reason").isNull(), "indexed").otherwise("failed").alias("status"), F.col("reason").alias("last_error")))

@@ -90,13 +90,26 @@ def kg_symbol_dedup(spark, sf_dir):
     return G.disambiguate(p, "p_partkey").select("p_partkey", "id")
 
 
-_ROUTES = ["web/src/app/api/users/route.ts", "app/api/items/[id]/route.tsx", "web/app/(group)/api/health/route.js", "site/pages/api/list/index.ts", "pages/api/one.ts", "src/pages/api/two/index.js", "src/app/api/three/route.jsx", "src/lib/x.ts", "web\\app\\api\\four\\route.ts"]
-_WANT = ["/api/users", "/api/items/[id]", "/api/health", "/api/list", "/api/one", "/api/two", "/api/three", None, "/api/four"]
+#: Layouts of files and the routes that they mean; {} is a part's brand and key.
+_ROUTES = ["web/src/app/api/{}/route.ts", "app/api/{}/[id]/route.tsx", "web/app/(group)/api/{}/route.js", "site/pages/api/{}/index.ts", "pages/api/{}.ts", "src/pages/api/{}/index.js", "src/app/api/{}/route.jsx", "src/lib/{}.ts", "web\\app\\api\\{}\\route.ts"]
+_WANT = ["/api/{}", "/api/{}/[id]", "/api/{}", "/api/{}", "/api/{}", "/api/{}", "/api/{}", None, "/api/{}"]
+_NAME = "lower(replace(p_brand, '#', '-')) || '-' || p_partkey"
 
 
-@query("select i, route from (values " + ", ".join(f"({i}, {repr(r) if r else 'null'})" for i, r in enumerate(_WANT)) + ") v(i, route)")
+def _listed(values) -> str:
+    return "[" + ", ".join("null" if v is None else f"'{v}'" for v in values) + "]"
+
+
+def _named(spark, sf_dir, layouts):
+    """A path for each part, its layout by the part's key."""
+    name = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("-"), F.col("p_partkey"))
+    layout = F.get(F.array(*map(F.lit, layouts)), (F.col("p_partkey") % len(layouts)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(layout, F.lit("{}"), name).alias("path"))
+
+
+@query(f"select p_partkey, replace(({_listed(_WANT)})[1 + p_partkey % {len(_WANT)}], '{{}}', {_NAME}) as route from part")
 def kg_endpoint_routes(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_ROUTES)), "i int, path string").select("i", paths.route_of(F.col("path")).alias("route"))
+    return _named(spark, sf_dir, _ROUTES).select("p_partkey", paths.route_of(F.col("path")).alias("route"))
 
 
 _CANDIDATES = "['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.rs', '.py', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/mod.rs']"
@@ -131,9 +144,9 @@ def kg_degree(spark, sf_dir):
     return G.degrees(_edges(spark, sf_dir))
 
 
-@query(f"with {_NODES}, {_EDGES}, n as (select * from nodes where kind <> 'customer') select 0 as part, '  \"' || id || '\" [label=\"' || label || '\"];' as line from n union all select 1, '  \"' || from_node || '\" -> \"' || to_node || '\" [label=\"' || kind || '\"];' from edges where from_node in (select id from n) and to_node in (select id from n)")
+@query(f"with {_NODES}, {_EDGES}, n as (select * from nodes) select 0 as part, '  \"' || id || '\" [label=\"' || label || '\"];' as line from n union all select 1, '  \"' || from_node || '\" -> \"' || to_node || '\" [label=\"' || kind || '\"];' from edges where from_node in (select id from n) and to_node in (select id from n)")
 def kg_export_edges(spark, sf_dir):
-    return G.dot_lines(_nodes(spark, sf_dir).filter("kind != 'customer'"), _edges(spark, sf_dir)).select("part", "line")
+    return G.dot_lines(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("part", "line")
 
 
 @query(f"with {_NODES}, {_EDGES} select 1 as part, '  ' || regexp_replace(from_node, '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || kind || '| ' || regexp_replace(to_node, '[^A-Za-z0-9_]', '_', 'g') as line from edges")
@@ -141,12 +154,13 @@ def kg_export_mermaid(spark, sf_dir):
     return G.mermaid_lines(_nodes(spark, sf_dir), _edges(spark, sf_dir)).filter("part = 1").select("part", "line")
 
 
-_LABELS = [("src/app/page.tsx", "page.tsx"), ("src/users/page.tsx", "users/page.tsx"), ("web/shop/components/index.ts", "shop/index.ts"), ("a/b.py", "b.py"), ("crates/core/src/lib.rs", "core/lib.rs"), ("main.rs", "main.rs"), ("x/lib/app/mod.rs", "mod.rs")]
+#: Layouts of files and their labels.
+_LABELS = [("src/app/page.tsx", "page.tsx"), ("src/{}/page.tsx", "{}/page.tsx"), ("web/{}/components/index.ts", "{}/index.ts"), ("a/{}.py", "{}.py"), ("crates/{}/src/lib.rs", "{}/lib.rs"), ("main.rs", "main.rs"), ("{}/lib/app/mod.rs", "mod.rs")]
 
 
-@query("select path, label from (values " + ", ".join(f"('{p}', '{w}')" for p, w in _LABELS) + ") v(path, label)")
+@query(f"select p_partkey, replace(({_listed(w for _, w in _LABELS)})[1 + p_partkey % {len(_LABELS)}], '{{}}', {_NAME}) as label from part")
 def kg_labels(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p, _ in _LABELS], "path string").select("path", paths.label_of(F.col("path")).alias("label"))
+    return _named(spark, sf_dir, [p for p, _ in _LABELS]).select("p_partkey", paths.label_of(F.col("path")).alias("label"))
 
 
 @query(f"with {_NODES}, {_EDGES} select kind, count(*) as n from (select kind from nodes union all select kind from edges) group by kind")

@@ -64,13 +64,13 @@ def token_tf(spark, sf_dir):
 
 @query(f"with {_INDEX} select term, df from df")
 def token_df(spark, sf_dir):
-    return S.term_stats(_index(spark, sf_dir)).select("term", "df")
+    return S.term_counts(_index(spark, sf_dir))
 
 
 @query(f"with {_INDEX} select n, total::bigint as total, round(mean, 6) as mean, (select count(*) from df) as vocabulary from st")
 def corpus_stats(spark, sf_dir):
     i = _index(spark, sf_dir)
-    return i.stats.join(i.postings.agg(F.count_distinct("term").alias("vocabulary")), how="cross").select("n", "total", F.round("mean", 6).alias("mean"), "vocabulary")
+    return i.stats.join(S.term_counts(i).agg(F.count(F.lit(1)).alias("vocabulary")), how="cross").select("n", "total", F.round("mean", 6).alias("mean"), "vocabulary")
 
 
 @query(f"with {_INDEX} select term, df, round(idf, 6) as idf from idf")
@@ -165,7 +165,7 @@ def score_blend(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), F.round(scoring.blend(F.col("p_retailprice") / 2000.0, F.col("p_size") / 250.0 - 0.1), 6).alias("score"))
 
 
-#: Questions that name files of the rows of `part` in every way.
+#: Kinds of questions that name files in every way.
 _ASK = ["where is the css style", "how does config work", "show helper util", "which hook", "call the api", "what is in src/main.rs", "the utils.py file", "see Button.tsx", "open index.ts", "large brass"]
 _FILES = ["src/main.rs", "lib/utils.py", "ui/Button.tsx", "web/index.ts", "web/style.css", "vite.config.js", "src/helper.ts", "hooks/useState.ts", "api/users.ts", "docs/large.md"]
 _ASKSQL = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_ASK))
@@ -174,12 +174,14 @@ _NAMED = {5: ("src/main.rs", True), 6: ("utils.py", True), 7: ("Button.tsx", Fal
 _NAMEDSQL = ", ".join(f"({i}, '{p}', {str(x).lower()})" for i, (p, x) in _NAMED.items())
 
 
-def _asks(spark):
-    return spark.createDataFrame(list(enumerate(_ASK)), "qid int, question string")
+def _asks(spark, sf_dir):
+    """A question for each item of the benchmark, its kind by the item's id."""
+    kinds = F.array(*map(F.lit, _ASK))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") % len(_ASK)).alias("kind"), F.concat(F.get(kinds, (F.col("item_id") % len(_ASK)).cast("int")), F.lit(" "), "item_id").alias("question"))
 
 
-@query(f"""with q as (select * from (values {_ASKSQL}) v(qid, question)), f as (select * from (values {_FILESQL}) v(fid, path)), n as (select * from (values {_NAMEDSQL}) v(qid, pattern, explicit)),
-x as (select q.qid, path, lower(question) as q, lower(regexp_extract(path, '[^/]*$')) as file, lower(pattern) as p, explicit, lower(path) as low from q, f left join n on n.qid = q.qid)
+@query(f"""with a as (select * from (values {_ASKSQL}) v(kind, question)), q as (select item_id as qid, kind, question || ' ' || item_id as question from benchmark join a on kind = item_id % {len(_ASK)}), f as (select * from (values {_FILESQL}) v(fid, path)), n as (select * from (values {_NAMEDSQL}) v(kind, pattern, explicit)),
+x as (select q.qid, path, lower(question) as q, lower(regexp_extract(path, '[^/]*$')) as file, lower(pattern) as p, explicit, lower(path) as low from q, f left join n on n.kind = q.kind)
 select qid, path, case
  when p is not null and (file = p or split_part(file, '.', 1) = split_part(p, '.', 1) or contains(low, p)) then case when explicit then 0.5 else 0.25 end
  when regexp_matches(q, 'css|style') and regexp_matches(file, '\\.css$|\\.scss$|style') then 0.1
@@ -191,20 +193,19 @@ select qid, path, case
  else 0.0 end::double as boost from x""")
 def filename_boost(spark, sf_dir):
     files = spark.createDataFrame([(p,) for p in _FILES], "path string")
-    named = _asks(spark).withColumn("f", scoring.detect_file(F.col("question")))
+    named = _asks(spark, sf_dir).withColumn("f", scoring.detect_file(F.col("question")))
     both = named.join(F.broadcast(files), how="cross")  # a fixed table of ten rows each
     return both.select("qid", "path", scoring.file_boost(F.col("question"), F.col("path"), F.col("f.pattern"), F.col("f.explicit")).alias("boost"))
 
 
-@query(f"select qid, pattern, explicit from (values {_ASKSQL}) v(qid, question) left join (values {_NAMEDSQL}) n(qid, pattern, explicit) using (qid)")
+@query(f"select item_id as qid, pattern, explicit from benchmark left join (values {_NAMEDSQL}) n(kind, pattern, explicit) on kind = item_id % {len(_ASK)}")
 def filename_detect(spark, sf_dir):
-    return _asks(spark).withColumn("f", scoring.detect_file(F.col("question"))).select("qid", "f.pattern", "f.explicit")
+    return _asks(spark, sf_dir).withColumn("f", scoring.detect_file(F.col("question"))).select("qid", "f.pattern", "f.explicit")
 
 
 @query(f"with {_BM25} select qid, doc_id, score from sc where score >= 12.0")
 def min_score_filter(spark, sf_dir):
-    i = _index(spark, sf_dir)
-    return S.bm25_search(i, _questions(spark, sf_dir), "qid", "text", 2_147_483_647).filter("score >= 12.0").select("qid", "doc_id", "score")
+    return S.bm25_scores(_index(spark, sf_dir), _questions(spark, sf_dir), "qid", "text").filter("score >= 12.0")
 
 
 @query("select doc_id as id, source as path, n_chars::double as score from documents qualify row_number() over (partition by source order by n_chars desc, doc_id) = 1")
@@ -257,17 +258,20 @@ _EXPQ = ["How does the architecture of the API flow", "styles and Theme settings
 _EXPQSQL = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_EXPQ))
 
 
-@query(f"""with q as (select * from (values {_EXPQSQL}) v(qid, question)), t as (select * from (values {_EXPROWS}) v(o, term, alt)),
+@query(f"""with e as (select * from (values {_EXPQSQL}) v(kind, question)), q as (select item_id as qid, question || ' ' || item_id as question from benchmark join e on kind = item_id % {len(_EXPQ)}), t as (select * from (values {_EXPROWS}) v(o, term, alt)),
 v as (select qid, question as variant, -1 as o from q union all
       select qid, variant, min(o) as o from (select qid, o, question, substr(question, 1, instr(lower(question), term) - 1) || alt || substr(question, instr(lower(question), term) + length(term)) as variant from q, t where contains(lower(question), term)) where variant <> question group by all)
 select qid, variant, row_number() over (partition by qid order by o) as place from v qualify place <= 4""")
 def query_expansion(spark, sf_dir):
-    return C.variants(spark.createDataFrame(list(enumerate(_EXPQ)), "qid int, question string"))
+    kinds = F.array(*map(F.lit, _EXPQ))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.get(kinds, (F.col("item_id") % len(_EXPQ)).cast("int")), F.lit(" "), "item_id").alias("question"))
+    return C.variants(asked)
 
 
 @query()
 def porter2_stem(spark, sf_dir):
-    return S.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", stem=True).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    i = S.build_index(table(spark, sf_dir, "documents"), "doc_id", "text", stem=True)
+    return S.term_counts(i)
 
 
 @query()

@@ -113,7 +113,10 @@ STACK_EXPANSIONS: list[tuple[tuple[str, ...], dict[str, list[str]]]] = [
 ]
 
 #: What a question says that wants everything of a kind, and what it calls the kinds (singulars stand for plurals, as parts of words).
-ALL_MARKS = ["all ", "every ", "list ", "liste ", "mostre todos", "mostre todas", "quais são todos", "quais são todas", "todas as ", "todos os ", "list of all"]
+#: What a question for everything contains.
+ALL_MARKS = [
+    "all ", "every ", "list ", "liste ", "show all", "mostre todos", "mostre todas", "quais são todos", "quais são todas", "todas as ", "todos os ", "what are all", "where are all", "find all", "get all", "list of all",
+]
 KIND_WORDS = {
     "endpoint": ["route", "rota", "endpoint", "api", "handler"],
     "function": ["function", "função", "funções", "method", "método"],
