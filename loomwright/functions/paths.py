@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomwright.rules import ARCHIVES, COMMON_NAMES, DOC_EXTENSIONS, HTTP_METHODS, IMPORT_ENDINGS, LANGUAGES, PLAIN_FOLDERS
+from loomwright.rules import ARCHIVES, COMMON_NAMES, DOC_EXTENSIONS, HTTP_METHODS, IMPORT_ENDINGS, LANGUAGE_TAGS, LANGUAGES, PLAIN_FOLDERS
 
 
 def file_name(path: Column) -> Column:
@@ -36,6 +36,12 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.element_at(table, extension(path)), F.lit("other"))
 
 
+def tag_of(path: Column) -> Column:
+    """The language as ids of symbols have it: scripts with types and without are told apart."""
+    table = F.create_map(*[F.lit(x) for tag, ends in LANGUAGE_TAGS.items() for e in ends.split() for x in (e, tag)])
+    return F.coalesce(F.element_at(table, extension(path)), F.lit("unknown"))
+
+
 def type_of(path: Column) -> Column:
     """The kind of file a name suggests; the first rule that fits counts."""
     f = F.lower(file_name(path))
@@ -101,5 +107,9 @@ def import_candidates(source: Column, target: Column) -> Column:
     return F.when(target.rlike(r"^[./]"), F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(stem, F.lit(e)).alias("path")) for i, e in enumerate(IMPORT_ENDINGS)])).otherwise(F.array().cast("array<struct<rank:int,path:string>>"))
 
 
+#: The name of a branch.
+BRANCH = r"(?!/)(?!.*//)[A-Za-z0-9._/-]+(?<!/)"
+
+
 def good_branch(name: Column) -> Column:
-    return name.rlike(r"^(?!/)(?!.*//)[A-Za-z0-9._/-]+(?<!/)$")
+    return name.rlike(f"^{BRANCH}$")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from loomwright.operators import history as H
 from loomwright.operators import inventory as I
 from loomwright.operators import memory as M
+from loomwright.operators import report as R
 from loomwright.operators import staging as V
+from loomwright.operators import workspace as K
 from loomwright.rules import COMMIT_KINDS, LOCK_FILES
 from loomwright.sources.snapshots import delete, upsert
 from loomwright.sources.tables import table
@@ -223,9 +225,82 @@ def manager_priority(spark, sf_dir):
     return I.managers(files)
 
 
-@query("select role as base, count(*) as chunks, count(distinct conv_id) as files, max(turn) as last from conversations group by role")
+_TURNS = "c as (select conv_id || '-' || turn as id, role as base, 'conv' || conv_id as file_path, conv_id % 3 as k, turn from conversations)"
+
+
+def _turns(spark, sf_dir):
+    """Turns as chunks: the role is the base, the conversation the file; two of three have a vector."""
+    t = table(spark, sf_dir, "conversations")
+    chunks = t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("base"), F.concat(F.lit("conv"), "conv_id").alias("file_path"), (F.col("conv_id") % 3).alias("k"))
+    return chunks.drop("k"), chunks.filter("k < 2").select("id", "base")
+
+
+@query(f"with {_TURNS} select base, count(*) as chunks, count(distinct file_path) as files, count(*) filter (k < 2) as vectors from c group by base")
 def base_stats(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("base")).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("conv_id").alias("files"), F.max("turn").alias("last"))
+    return K.base_stats(*_turns(spark, sf_dir))
+
+
+@query(f"with {_TURNS}, b as (select base, count(*) as chunks, count(distinct file_path) as files, count(*) filter (k < 2) as vectors from c group by base) select sum(chunks)::bigint as chunks, sum(files)::bigint as files, sum(vectors)::bigint as vectors from b")
+def base_totals(spark, sf_dir):
+    return K.totals(K.base_stats(*_turns(spark, sf_dir)))
+
+
+_COMMITS = "t as (select 'rev' || event_id as id, list_transform(range(event_id % 3 + 1), lambda i: {'type': case when (event_id + i) % 4 = 0 then 'reindex' else 'commit' end, 'bases': case when i = 0 then ['code', 'docs'] else ['docs'] end, 'n': (event_id + i) % 100}) as o from events)"
+
+
+@query(f"with {_COMMITS}, e as (select id, unnest(o) as o, generate_subscripts(o, 1) as pos from t), b as (select id, pos, o.n as n, unnest(o.bases) as base from e where o.type = 'commit') select id, base, max_by(n, pos)::int as sources_added from b group by all")
+def show_impact(spark, sf_dir):
+    """Events as revisions of one to three operations."""
+    e = F.col("event_id")
+    op = lambda i: F.struct(F.when((e + i) % 4 == 0, "reindex").otherwise("commit").alias("type"), F.when(i == 0, F.array(F.lit("code"), F.lit("docs"))).otherwise(F.array(F.lit("docs"))).alias("bases"), ((e + i) % 100).cast("int").alias("source_count"))
+    t = table(spark, sf_dir, "events").select(F.concat(F.lit("rev"), e).alias("id"), F.transform(F.sequence(F.lit(0).cast("long"), e % 3), op).alias("operations"))
+    return R.impact(t)
+
+
+_DOC = "d as (select doc_id::varchar as id, case doc_id % 3 when 0 then 'memory' when 1 then 'code' else 'docs' end as base, case when doc_id % 3 = 0 then 'memory://' else 'f/' end || lpad(doc_id::varchar, 8, '0') as file_path, 'r' || doc_id % 5 as revision_id, text, case when doc_id % 2 = 0 then '{\"title\": \"t' || doc_id || '\"}' end as extra from documents)"
+
+
+def _doc_chunks(spark, sf_dir):
+    """Documents as chunks of five revisions; every third is a memory, half of them with a title."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    base = F.when(k % 3 == 0, "memory").when(k % 3 == 1, "code").otherwise("docs")
+    path = F.concat(F.when(k % 3 == 0, "memory://").otherwise("f/"), F.lpad(k.cast("string"), 8, "0"))
+    return d.select(k.cast("string").alias("id"), base.alias("base"), path.alias("file_path"), F.concat(F.lit("r"), k % 5).alias("revision_id"), "text", F.when(k % 2 == 0, F.concat(F.lit('{"title": "t'), k, F.lit('"}'))).alias("extra"))
+
+
+@query(f"with {_DOC} select base, regexp_replace(file_path, '^memory://', '') as path from d where revision_id = 'r3' order by list_position(['code', 'docs', 'memory'], base), file_path limit {R.MAX_SOURCES}")
+def show_sources(spark, sf_dir):
+    """The first sources of a revision: the limit is the feature."""
+    return R.samples(_doc_chunks(spark, sf_dir), "r3")[0]
+
+
+@query(f"with {_DOC} select id, coalesce(json_extract_string(extra, '$.title'), case when length(text) <= {R.SUMMARY} then text else left(text, {R.SUMMARY - 3}) || '...' end, file_path) as summary from d where revision_id = 'r3' and base = 'memory' order by file_path, id limit {R.MAX_MEMORIES}")
+def show_memories(spark, sf_dir):
+    """The first memories of a revision: the limit is the feature."""
+    return R.samples(_doc_chunks(spark, sf_dir), "r3")[1]
+
+
+@query("""with o as (select o_orderkey as k, 'src/o' || o_orderkey as path, o_orderkey % 50 as size, o_orderkey % 7 as mtime from orders),
+n as (select path, case when k % 10 = 0 then size + 1 else size end as size, mtime, k from o where k % 6 <> 0), p as (select path, k from o where k % 20 = 0)
+select path, 'modified' as state from n where k % 10 = 0 and path not in (select path from p) union all select path, 'staged' from p""")
+def working_tree(spark, sf_dir):
+    """Orders as indexed files, some of them gone, some changed, some staged."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("src/o"), "o_orderkey").alias("path"), (F.col("o_orderkey") % 50).alias("size"), (F.col("o_orderkey") % 7).alias("mtime"))
+    now = o.filter("k % 6 != 0").select("path", F.when(F.col("k") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime")
+    pending = o.filter("k % 20 = 0").select(F.col("path").alias("uri"), F.lit("pending").alias("status"), F.lit("modified").alias("change_type"))
+    staged, modified = R.working_tree(now, o.select("path", "size", "mtime"), pending)
+    return modified.select("path", F.lit("modified").alias("state")).unionByName(staged.select("path", F.lit("staged").alias("state")))
+
+
+@query("""select l_orderkey || '-' || l_linenumber as id, case when l_linenumber % 3 = 0 then 'kept ' || l_partkey when l_orderkey % 5 = 0 then null when l_linenumber > 3 then 'a' || l_orderkey || chr(10) || 'b' || chr(10) || 'c' || chr(10) else array_to_string((string_split('a' || l_orderkey || chr(10) || 'b' || chr(10) || 'c', chr(10)))[l_linenumber : l_linenumber + 1], chr(10)) end as text,
+ case when l_linenumber % 3 <> 0 and l_orderkey % 5 = 0 then 'file not found' end as error from lineitem""")
+def stored_text(spark, sf_dir):
+    """Order lines as chunks of their order's file, which has three lines and is gone for every fifth; a third have their text stored."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    path = lambda c: F.concat(F.lit("f"), c)
+    chunks = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), path(F.col("l_orderkey")).alias("file_path"), k.cast("int").alias("start_line"), (k + 1).cast("int").alias("end_line"), F.when(k % 3 == 0, F.concat(F.lit("kept "), "l_partkey")).alias("text"))
+    files = table(spark, sf_dir, "orders").filter("o_orderkey % 5 != 0").select(path(F.col("o_orderkey")).alias("path"), F.concat(F.lit("a"), "o_orderkey", F.lit("\nb\nc\n")).alias("text"))
+    return K.stored_text(chunks, files)
 
 
 @query("select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1")

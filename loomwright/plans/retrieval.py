@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import paths, scoring
 from loomwright.operators import chunks as C
+from loomwright.operators import inventory as I
 from loomwright.operators import search as S
 from loomwright.rules import EXPANSIONS, STOPWORDS
 from loomwright.sources.tables import markdown, table
@@ -114,7 +115,8 @@ def vector_l2_topk(spark, sf_dir):
 
 @query(_knn_sql(_COS, "where label in (1, 2)"))
 def vector_filtered_topk(spark, sf_dir):
-    return S.knn(_vectors(spark, sf_dir).filter(F.col("label").isin(1, 2)), _asked(spark, sf_dir), TOP)
+    v = _vectors(spark, sf_dir).withColumn("base", F.when(F.col("label").isin(1, 2), "code").otherwise("docs"))
+    return S.knn(v.filter(S.vector_filter(base="code")), _asked(spark, sf_dir), TOP)
 
 
 @query(f"with v as (select row_number() over (order by vec_id) as n, vec_id, embedding::double[] as e, label from embeddings), c as (select label, list(x / n2 order by pos) as q from (select label, pos, x, sqrt(sum(x * x) over (partition by label)) as n2 from (select label, pos, avg(e[pos]) as x from v, range(1, 65) r(pos) group by all)) group by label) select v.label, vec_id, round(list_cosine_similarity(e, q), 6) as score, row_number() over (partition by v.label order by round(list_cosine_similarity(e, q), 6) desc, vec_id) as rank from v join c using (label) qualify rank <= {TOP}")
@@ -234,15 +236,16 @@ def base_inference(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(paths.base_of(F.col("url")).alias("base"), paths.kind_of(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select lang as language, count(*) as files, count(distinct source) as sources from documents group by lang")
-def language_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("files"), F.count_distinct("source").alias("sources"))
-
-
 _EXT = ["css", "md", "tsx", "ts", "html", "json", "py", "scss"]
 _STEM = ["config", "useThing", "helper", "users-api", "plain"]
 
 
+@query(f"select case e when 'tsx' then 'typescript' when 'ts' then 'typescript' when 'py' then 'python' when 'md' then 'markdown' else e end as language, count(*) as files from (select ({_EXT!r})[1 + p_size % 8] as e from part) group by all")
+def language_counts(spark, sf_dir):
+    end = F.get(F.array(*map(F.lit, _EXT)), F.col("p_size") % 8)
+    return I.language_counts(table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), "p_partkey", F.lit("."), end).alias("path")))
+
+
 @query(f"""with f as (select p_partkey, lower(({_STEM!r})[1 + p_partkey % 5] || '.' || ({_EXT!r})[1 + p_size % 8]) as f from part)
 select case when contains(f, 'config') or f = 'package.json' then 'config' when regexp_matches(f, '\\.(css|scss|sass|less)$') then 'stylesheet' when f like '%.md' or contains(f, 'readme') then 'documentation'
  when regexp_matches(f, '\\.(jsx|tsx)$') then 'component' when regexp_matches(f, '^use.*\\.(js|ts)$') then 'hook' when regexp_matches(f, 'helper|util|lib') then 'utility' when regexp_matches(f, 'api|service|client') then 'api'

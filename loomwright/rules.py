@@ -30,6 +30,7 @@ PLAIN_FOLDERS = "src lib app pages components".split()
 #: What an import path may be completed with, in order.
 IMPORT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".rs", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/mod.rs"]
 
+#: Methods a route file may export.
 HTTP_METHODS = "GET POST PUT PATCH DELETE HEAD OPTIONS".split()
 
 #: Terms of a question and what may stand in their place, in the order in which terms are tried.
@@ -135,3 +136,148 @@ KIND_SYNONYMS = {
 #: Methods that a question may filter by, in the order in which they are looked for, and words that ask about endpoints.
 ASKED_METHODS = ["get", "post", "put", "delete", "patch"]
 ENDPOINT_WORDS = ["/api/", "endpoint", "route", "http", "get ", "post ", "put ", "delete ", "patch ", "rest ", "handler"]
+
+#: Extensions and the tags of languages in the ids of symbols.
+LANGUAGE_TAGS = {
+    "ts": "ts tsx mts cts", "js": "js jsx mjs cjs", "py": "py pyw pyi", "rb": "rb rake gemspec", "cs": "cs", "java": "java", "md": "md markdown", "rs": "rs", "c": "c h",
+    "cpp": "cpp hpp cc cxx hxx hh", "sql": "sql", "php": "php phtml", "go": "go", "kt": "kt kts", "css": "css scss sass less", "html": "html htm",
+}
+
+#: Statements that name another file, by extension; either of two groups holds the name.
+IMPORT_PATTERNS = {
+    "js jsx ts tsx mjs cjs": r"""(?:import\s+(?:.*?\s+from\s+)?['"]([^'"]+)['"])|(?:require\s*\(\s*['"]([^'"]+)['"]\s*\))""",
+    "rs": r"(?:use\s+(?:crate|super|self)::([a-zA-Z_][a-zA-Z0-9_:]*)|mod\s+([a-zA-Z_][a-zA-Z0-9_]*))",
+    "py": r"(?:^|\n)\s*(?:from\s+([a-zA-Z_][a-zA-Z0-9_.]*)|import\s+([a-zA-Z_][a-zA-Z0-9_.]*))",
+}
+
+#: Calls, class lists and library parts in scripts and pages.
+DIRECT_CALL = {"js": r"\b([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(", "py": r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", "rs": r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*(?:::<[^>]+>)?\s*\("}
+METHOD_CALL = {
+    "js": r"\b([a-zA-Z_$][a-zA-Z0-9_$]*)\.([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(",
+    "py": r"\b([a-zA-Z_][a-zA-Z0-9_]*)\.([a-zA-Z_][a-zA-Z0-9_]*)\s*\(",
+    "rs": r"\b([a-zA-Z_][a-zA-Z0-9_]*)\.([a-zA-Z_][a-zA-Z0-9_]*)\s*(?:::<[^>]+>)?\s*\(",
+}
+TYPE_CALL = r"\b([A-Z][a-zA-Z0-9_]*)::([a-zA-Z_][a-zA-Z0-9_]*)\s*(?:::<[^>]+>)?\s*\("
+JSX_CLASSES = r"""className\s*=\s*["']([^"']+)["']"""
+JSX_CLASS_CALLS = r"""className\s*=\s*\{\s*(?:cn|clsx|classNames)\s*\(\s*["']([^"']+)["']"""
+JSX_CLASS_TEMPLATES = r"className\s*=\s*\{\s*`([^`]+)`"
+HTML_CLASSES = r"""class\s*=\s*["']([^"']+)["']"""
+UI_IMPORT = r"""import\s*\{\s*([^}]+)\s*\}\s*from\s*["']@/components/ui/([^"']+)["']"""
+NG_MODULE = r"@NgModule\s*\([^)]*\)\s*(?:export\s+)?class\s+([A-Z][a-zA-Z0-9_]*)"
+NG_DECLARATIONS = r"declarations\s*:\s*\[\s*([^\]]+)\s*\]"
+#: Names that aren't calls worth an edge, words that aren't calls, and objects whose methods aren't, by tag.
+BUILT_IN = {
+    "js": (
+        "log error warn info debug trace dir table map filter reduce forEach find findIndex some every includes indexOf push pop shift unshift slice splice concat join reverse sort flat flatMap fill "
+        "keys values entries assign freeze seal create hasOwnProperty toString valueOf split trim toLowerCase toUpperCase replace replaceAll substring substr charAt charCodeAt startsWith endsWith match "
+        "search padStart padEnd then catch finally resolve reject all race allSettled floor ceil round abs min max random pow sqrt parse stringify getElementById querySelector querySelectorAll "
+        "addEventListener removeEventListener createElement appendChild removeChild get set has delete clear add remove call apply bind useState useEffect useCallback useMemo useRef useContext useReducer "
+        "useLayoutEffect useImperativeHandle useDebugValue"
+    ),
+    "py": (
+        "print len range str int float bool list dict set tuple type isinstance issubclass hasattr getattr setattr delattr open input format repr id hash dir vars globals locals iter next enumerate zip map "
+        "filter sorted reversed min max sum abs round pow divmod all any callable super property staticmethod classmethod ord chr hex bin oct bytes bytearray append extend insert remove pop clear index "
+        "count sort reverse copy get keys values items update setdefault split join strip lstrip rstrip lower upper title capitalize replace find rfind startswith endswith encode decode read write "
+        "readline readlines close flush seek tell add discard union intersection difference __init__ __new__ __del__ __repr__ __str__ __call__"
+    ),
+    "rs": (
+        "println print eprintln eprint format write writeln panic assert assert_eq assert_ne debug_assert debug_assert_eq todo unimplemented unreachable dbg vec format_args include_str include_bytes concat "
+        "stringify env option_env cfg column file line module_path new default clone into from as_ref as_mut unwrap expect unwrap_or unwrap_or_else unwrap_or_default ok err map map_err and_then or_else "
+        "ok_or ok_or_else is_some is_none is_ok is_err take replace len is_empty push pop insert remove contains get get_mut iter iter_mut into_iter collect filter fold find any all skip chain zip "
+        "enumerate peekable to_string to_owned as_str as_bytes chars bytes parse from_str to_vec lock read write try_lock try_read try_write spawn join send recv try_recv eq ne lt le gt ge cmp "
+        "partial_cmp add sub mul div rem neg not deref deref_mut index index_mut drop borrow borrow_mut"
+    ),
+}
+NOT_CALLS = {
+    "js": "if for while switch catch function async await return throw new typeof instanceof class const let var import export from require",
+    "py": "if for while with try except finally def class lambda return yield raise import from as pass break continue and or not in is True False None",
+    "rs": "if else for while loop match fn struct enum trait impl mod use pub let const static mut ref return break continue move async await where type unsafe extern crate self super dyn as in Some None Ok Err",
+}
+BUILT_IN_OBJECTS = {"js": "console Math JSON Object Array String Number Boolean Date Promise window document", "py": "os sys re json math random datetime time", "rs": ""}
+BUILT_IN_TYPES = "Option Result Vec String Box Rc Arc Cell RefCell Mutex RwLock HashMap HashSet BTreeMap BTreeSet Path PathBuf File".split()
+#: What tells a script's framework; the first that fits counts.
+SCRIPT_FRAMEWORKS = [
+    ("angular", ["@Component(", "@NgModule("]), ("next", ["from 'next", 'from "next']), ("shadcn", ["@/components/ui/", "from '@/components/ui"]),
+    ("react", ["from 'react'", 'from "react"', "import React", "React.Component", "useState", "useEffect"]),
+    ("express", ["express()", "from 'express'"]), ("angular", ["@angular/core", "@angular/common", "@Injectable("]),
+]
+
+#: Symbols by (language, kind, pattern, group of the name, names that don't count), in the order in which they are looked for.
+#: Runs of words before a name are one word here: which name is found is the same, and the search takes no longer than the text.
+SYMBOL_RULES: list[tuple[str, str, str, int, str]] = [
+    ("python", "class", r"(?:^|\n)class\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*[:\(]", 1, ""),
+    ("python", "function", r"(?:^|\n)(?:async\s+)?def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, r"^__(?!init__$).*__$"),
+    ("python", "method", r"(?:^|\n)[ \t]+(?:async\s+)?def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, r"^__(?!init__$).*__$"),
+    ("python", "constant", r"(?:^|\n)([A-Z][A-Z0-9_]*)\s*=", 1, "^[TKV]$"),
+    ("rust", "struct", r"struct\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1, ""),
+    ("rust", "enum", r"enum\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1, ""),
+    ("rust", "trait", r"trait\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1, ""),
+    ("rust", "function", r"fn\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*[<(]", 1, ""),
+    ("rust", "module", r"mod\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*[{;]", 1, "^tests?$"),
+    ("rust", "type", r"type\s+([a-zA-Z_][a-zA-Z0-9_]*)(?:<[^>]+>)?\s*=", 1, ""),
+    ("rust", "constant", r"(?:const|static(?:\s+mut)?)\s+([A-Z][A-Z0-9_]*)\s*:", 1, ""),
+    ("go", "function", r"func\s+(?:\([^)]+\)\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, ""),
+    ("go", "struct", r"type\s+([A-Z][a-zA-Z0-9_]*)\s+struct\b", 1, ""),
+    ("go", "interface", r"type\s+([A-Z][a-zA-Z0-9_]*)\s+interface\b", 1, ""),
+    ("go", "type", r"type\s+([A-Z][a-zA-Z0-9_]*)\s+(?!(?:struct|interface)(?![a-zA-Z0-9_\[\].]))[a-zA-Z]", 1, ""),
+    ("go", "constant", r"const\s+([A-Z][a-zA-Z0-9_]*)\s*=", 1, ""),
+    ("java", "class", r"class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("java", "record", r"record\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("java", "interface", r"interface\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("java", "enum", r"enum\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("java", "method", r"(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?(?:\w+(?:<[^>]+>)?)\s+([a-z][a-zA-Z0-9_]*)\s*\(", 1, ""),
+    ("kotlin", "class", r"class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("kotlin", "object", r"object\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("kotlin", "interface", r"interface\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("kotlin", "function", r"fun\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, ""),
+    ("csharp", "class", r"class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("csharp", "interface", r"interface\s+(I[A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("csharp", "struct", r"struct\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("csharp", "enum", r"enum\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("csharp", "method", r"(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+)?(?:virtual\s+)?(?:override\s+)?(?:\w+(?:<[^>]+>)?)\s+([A-Z][a-zA-Z0-9_]*)\s*\(", 1, r"^(?!Main$|Get[^_]*$)"),
+    ("c", "function", r"\w++(?:\s*+\*)?\s++([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*\{", 1, "^(if|while|for|switch|return)$"),
+    ("c", "struct", r"struct\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\{", 1, ""),
+    ("c", "enum", r"enum\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\{", 1, ""),
+    ("c", "typedef", r"typedef\s+.+?\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*;", 1, ""),
+    ("c", "macro", r"#define\s+([A-Z_][A-Z0-9_]*)", 1, ""),
+    ("cpp", "class", r"class\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1, ""),
+    ("cpp", "struct", r"struct\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1, ""),
+    ("cpp", "namespace", r"namespace\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\{", 1, ""),
+    ("cpp", "function", r"\w++(?:<[^>]+>)?(?:\s*+\*)?(?:\s*+&)?\s++([a-zA-Z_][a-zA-Z0-9_]*)\s*\([^)]*\)\s*(?:const\s*)?(?:override\s*)?(?:final\s*)?\{", 1, "^(if|while|for|switch)$"),
+    ("cpp", "enum", r"enum\s+(?:class\s+)?([a-zA-Z_][a-zA-Z0-9_]*)\s*(?::\s*\w+\s*)?\{", 1, ""),
+    ("ruby", "class", r"class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("ruby", "module", r"module\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("ruby", "method", r"def\s+(?:self\.)?([a-zA-Z_][a-zA-Z0-9_]*[!?]?)", 1, ""),
+    ("ruby", "constant", r"([A-Z][A-Z0-9_]*)\s*=", 1, ""),
+    ("php", "class", r"class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("php", "interface", r"interface\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("php", "trait", r"trait\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("php", "function", r"function\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, "^__(?!construct$)"),
+    ("sql", "table", r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:[`]?[a-zA-Z_][a-zA-Z0-9_]*[`]?\.)?[`]?([a-zA-Z_][a-zA-Z0-9_]*)[`]?", 1, ""),
+    ("sql", "view", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+(?:[`]?[a-zA-Z_][a-zA-Z0-9_]*[`]?\.)?[`]?([a-zA-Z_][a-zA-Z0-9_]*)[`]?", 1, ""),
+    ("sql", "function", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?FUNCTION\s+(?:[`]?[a-zA-Z_][a-zA-Z0-9_]*[`]?\.)?[`]?([a-zA-Z_][a-zA-Z0-9_]*)[`]?", 1, ""),
+    ("sql", "procedure", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?PROCEDURE\s+(?:[`]?[a-zA-Z_][a-zA-Z0-9_]*[`]?\.)?[`]?([a-zA-Z_][a-zA-Z0-9_]*)[`]?", 1, ""),
+    ("sql", "index", r"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?[`]?([a-zA-Z_][a-zA-Z0-9_]*)[`]?", 1, ""),
+    *(("markdown", f"h{i}", rf"(?m)^#{{{i}}}\s+(.+)$", 1, "") for i in range(1, 7)),
+    ("css", "styleClass", r"\.([a-zA-Z_][a-zA-Z0-9_-]*)", 1, "^(hover|focus|active|before|after|first-child|last-child|not)$"),
+    ("css", "styleId", r"#([a-zA-Z_][a-zA-Z0-9_-]*)(?:\s*[:{>,\[\s]|$)", 1, ""),
+    ("css", "cssVariable", r"--([a-zA-Z][a-zA-Z0-9_-]*)\s*:", 1, ""),
+    ("css", "tailwindDirective", r"@tailwind\s+([a-zA-Z]+)", 1, ""),
+    ("html", "htmlSection", r"""<(section|article|aside|header|footer|main|nav)\s+[^>]*id\s*=\s*["']([^"']+)["']""", 2, ""),
+    ("html", "htmlAnchor", r"""<[a-zA-Z][a-zA-Z0-9]*\s+[^>]*id\s*=\s*["']([^"']+)["']""", 1, ""),
+    ("script", "reactComponent", r"function\s+([A-Z][a-zA-Z0-9_$]*)\s*\([^)]*\)\s*(?::\s*[^{]+)?\s*\{", 1, "^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)$"),
+    ("script", "reactComponent", r"const\s+([A-Z][a-zA-Z0-9_$]*)\s*(?::\s*[^=]+)?\s*=\s*(?:React\.)?(?:memo|forwardRef)?\s*\(?\s*(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_$][a-zA-Z0-9_$]*)\s*=>", 1, "^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)$"),
+    ("script", "reactComponent", r"class\s+([A-Z][a-zA-Z0-9_$]*)\s+extends\s+(?:React\.)?(?:Component|PureComponent)", 1, ""),
+    ("script", "ngComponent", r"@Component\s*\(\s*\{[^}]*\}\s*\)\s*(?:export\s+)?class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("script", "ngModule", r"@NgModule\s*\(\s*\{[^}]*\}\s*\)\s*(?:export\s+)?class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("script", "ngService", r"@Injectable\s*\(\s*(?:\{[^}]*\})?\s*\)\s*(?:export\s+)?class\s+([A-Z][a-zA-Z0-9_]*)", 1, ""),
+    ("script", "ngRoute", r"""\{\s*path\s*:\s*["']([^"']*)["']\s*,\s*(?:component|loadChildren|redirectTo)""", 1, "^$"),
+    ("script", "function", r"function\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(", 1, r"^\p{Lu}.*\p{Ll}"),
+    ("script", "function", r"const\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_$][a-zA-Z0-9_$]*)\s*=>", 1, r"^\p{Lu}.*\p{Ll}"),
+    ("script", "class", r"class\s+([a-zA-Z_$][a-zA-Z0-9_$]*)", 1, ""),
+    ("typescript", "interface", r"interface\s+([a-zA-Z_$][a-zA-Z0-9_$]*)", 1, ""),
+    ("typescript", "type", r"type\s+([a-zA-Z_$][a-zA-Z0-9_$]*)\s*=", 1, ""),
+]
+#: Kinds that a file has once a name; what in a path tells of a part of a page.
+ONCE = "styleClass styleId cssVariable tailwindDirective htmlSection htmlAnchor reactComponent ngComponent ngModule ngService ngRoute uiComponent".split()
+PARTIAL_MARKS = ["partial", "layout", "template", "_", "component"]
