@@ -3,8 +3,9 @@
 Units are the whole text, its paragraphs (parted by blank lines) and its lines. Licences that no
 unit has are looked for in windows: all stretches of a text's words, wherever they begin and end,
 of as many bigrams as a template's can have. So a notice is found alone and inside other text,
-over several paragraphs, within a line and wrapped over lines, whatever the line ends. Of windows
-that overlap the one of the highest coefficient counts. Normalising lower-cases A-Z and keeps words of letters,
+over several paragraphs, within a line and wrapped over lines, whatever the line ends. Of a template's
+windows that overlap the one of the highest coefficient counts, of several templates' the one that
+has more bigrams in common with its template, then the higher coefficient. Normalising lower-cases A-Z and keeps words of letters,
 digits and points inside numbers apart from all else. With a and b distinct bigrams, Dice is at
 most 2 min(a, b) / (a + b); only templates within that bound are compared. A unit's template is
 the one of the highest coefficient, the first in order on a tie.
@@ -12,13 +13,16 @@ the one of the highest coefficient, the first in order on a tie.
 The pruning is vectorised: a unit whose own bigrams that occur in any template are too few for the
 threshold, at its size, has no template. The others are compared as sets of words, in full. A
 window begins and ends with a bigram of its template, as others only lower its coefficient, and is
-looked at only where enough such bigrams lie close together.
+looked at only where enough such bigrams lie close together. A window that begins j bigrams later
+has at most (1 + j / x) times the coefficient, where x is the least number of bigrams that a window
+over the threshold and its template have together; beginnings that can't come to the threshold, or
+above the best window that they overlap, are passed over.
 """
 
 from __future__ import annotations
 
+import importlib.resources
 import re
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +58,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
+#: Whole texts, a file for each identifier, after the notices.
+TEMPLATES += sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in (importlib.resources.files("loomwright.llm") / "license_texts").iterdir())
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -127,29 +134,46 @@ class Matcher:
             if size == 0 or len(places) < least:
                 continue
             begin, end = places[: len(places) - least + 1], places[least - 1 :]
+            x, after, top, own = (1 + reach) * size, -1, (0.0, -1), []
             for p in begin[(end - begin < most) & (unit[begin] == unit[end])].tolist():
-                stretch = slice(p, min(p + most, int(np.searchsorted(unit, unit[p], "right"))))
-                best = self.longest(h[stretch], self.has[i][at[stretch]] & (self.known[at[stretch]] == h[stretch]), size)
-                if best:
-                    found.setdefault(int(unit[p]), []).append((-best[0], i, p, p + best[1]))
+                if p < after:
+                    continue
+                last = int(np.searchsorted(unit, unit[p], "right"))
+                stretch = slice(p, min(p + 2 * most, last))
+                bound, d, n, common = self.longest(h[stretch], self.has[i][at[stretch]] & (self.known[at[stretch]] == h[stretch]), size, most)
+                if d >= self.threshold:
+                    own.append((-d, p, p + n, common))
+                    if p >= top[1] or d > top[0]:
+                        top = d, p + n
+                later = lambda least_d: p + min(most, int(x * max(0.0, least_d / bound - 1)))  # noqa: B023, E731
+                after = min(last, max(later(self.threshold), min(later(top[0]), top[1])))
+            for d, p, q, common in self.apart(sorted(own)):
+                found.setdefault(int(unit[p]), []).append((-common, p, q, d, i))
         out = []
         for text, hits in found.items():
-            taken: list[tuple[int, int]] = []
-            for _, i, p, q in sorted(hits):
-                if all(q <= a or b <= p for a, b in taken):
-                    d = dice(bigrams(w.text(int(inner[p]), int(inner[q - 1]) + 2).decode()), self.sets[i])
-                    if d >= self.threshold:
-                        taken.append((p, q))
-                        out.append((text, d, i))
+            for _, p, q, _, i in self.apart(sorted(hits, key=lambda x: (x[0], x[3], x[4]))):
+                d = dice(bigrams(w.text(int(inner[p]), int(inner[q - 1]) + 2).decode()), self.sets[i])
+                if d >= self.threshold:
+                    out.append((text, d, i))
         return out
 
-    def longest(self, h: np.ndarray, own: np.ndarray, size: int) -> tuple[float, int] | None:
-        """The highest coefficient of the stretch's beginnings, and the bigrams in the first one that has it."""
+    @staticmethod
+    def apart(hits: list[tuple]) -> list[tuple]:
+        """Of (_, first, end, ...), best first, those that overlap none before them."""
+        taken: list[tuple] = []
+        for hit in hits:
+            if all(hit[2] <= t[1] or t[2] <= hit[1] for t in taken):
+                taken.append(hit)
+        return taken
+
+    def longest(self, h: np.ndarray, own: np.ndarray, size: int, most: int) -> tuple[float, float, int, int]:
+        """The highest coefficient of the stretch's beginnings, that of those of at most `most` bigrams, the bigrams in the first one that has it and those in common."""
         new = np.zeros(len(h), bool)
         new[np.unique(h, return_index=True)[1]] = True
-        d = 2 * np.cumsum(new & own) / (np.cumsum(new) + size)
-        k = int(np.argmax(d))
-        return (float(d[k]), k + 1) if d[k] >= self.threshold else None
+        both = np.cumsum(new & own)
+        d = 2 * both / (np.cumsum(new) + size)
+        k = int(np.argmax(d[:most]))
+        return float(d.max()), float(d[k]), k + 1, int(both[k])
 
 
 def units(raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:

@@ -38,6 +38,36 @@ def test_licenses_inside_other_text(docs):
     assert got == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["MIT"], 4: ["GPL-2.0-only"], 5: ["Apache-2.0", "CC-BY-SA-4.0"], 6: []}
 
 
+def test_license_windows_lose_nothing():
+    """The best window of one template, against all windows."""
+    rnd = random.Random(9)
+    for size in (3, 8, 25):
+        for _ in range(60):
+            template = " ".join(f"t{rnd.randrange(size)}" for _ in range(size + 1))
+            m = licenses.Matcher([("x", template)], 0.8)
+            text = " ".join(" ".join(template.split()[rnd.randrange(size) :]) if rnd.random() < 0.4 else f"{rnd.choice('tu')}{rnd.randrange(size)}" for _ in range(rnd.randrange(2, 3 * size)))
+            text += " " + template.replace("t1", "u1") * rnd.randrange(2)
+            pairs = list(zip(text.split(), text.split()[1:]))
+            goal, most = m.sets[0], int(len(m.sets[0]) * 1.5 + 1e-9)
+            best = max((licenses.dice(frozenset(pairs[p:q]), goal) for p in range(len(pairs)) for q in range(p + 1, min(p + most, len(pairs)) + 1)), default=0.0)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            got = max((d for _, d, _ in m.windows(raw, np.array([0, len(raw)]))), default=0.0)
+            assert got == (best if best >= 0.8 else 0.0)
+
+
+def test_license_whole_texts(docs):
+    """Whole licence files, found as a text, and inside others, whatever stands around them."""
+    whole = {n: t for n, t in licenses.TEMPLATES if len(t) > 700}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib"} <= set(whole)
+    names = sorted(whole)
+    around = " ".join(f"bar{k} of the software" for k in range(300))
+    texts = [whole[n] for n in names] + [f"{around}\n{whole[n].replace('software', 'programme', 3)} {around}" for n in names]
+    got = {r.doc_id: {x.license: x.dice for x in r.licenses} for r in licenses.scan(docs(*texts), "text").collect()}
+    for i, n in enumerate(names):
+        assert got[i][n] == 1.0 and n in got[len(names) + i], n  # a notice inside it may give the coefficient
+    assert "BSD-3-Clause" not in got[names.index("BSD-2-Clause")] and "BSD-2-Clause" not in got[names.index("BSD-3-Clause") + len(names)]
+
+
 def test_license_pruning_loses_nothing():
     m, rnd = licenses.Matcher(licenses.TEMPLATES, 0.8), random.Random(5)
     for _ in range(300):
