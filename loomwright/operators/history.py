@@ -124,6 +124,11 @@ def add_release(changelog: str, section: str) -> str:
     return "\n".join([*lines[:at], section, *lines[at:]])
 
 
+def changelog(existing: str | None, section: str, append: bool) -> str:
+    """A changelog of the section alone, or the existing one (else an empty one) with the section in its place."""
+    return add_release("# Changelog\n\n" if existing is None else existing, section) if append else section
+
+
 def last_per(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key with the largest order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")

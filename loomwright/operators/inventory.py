@@ -11,26 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright import rules
 from loomwright.functions import paths
 from loomwright.rules import LOCK_FILES
 
-#: Packages and what they tell, by manager family: (family, package, kind, tag).
+#: Packages and what they tell: (family, package, kind, tag).
 TECHNOLOGIES = [
-    ("js", "react", "framework", "React"), ("js", "next", "framework", "Next.js"), ("js", "vue", "framework", "Vue.js"), ("js", "nuxt", "framework", "Nuxt"), ("js", "svelte", "framework", "Svelte"),
-    ("js", "@angular/core", "framework", "Angular"), ("js", "express", "framework", "Express"), ("js", "fastify", "framework", "Fastify"), ("js", "@nestjs/core", "framework", "NestJS"),
-    ("js", "tailwindcss", "tool", "Tailwind CSS"), ("js", "typescript", "tool", "TypeScript"), ("js", "vite", "tool", "Vite"), ("js", "webpack", "tool", "Webpack"), ("js", "eslint", "tool", "ESLint"),
-    ("js", "prettier", "tool", "Prettier"), ("js", "jest", "tool", "Jest"), ("js", "vitest", "tool", "Vitest"), ("js", "prisma", "tool", "Prisma"), ("js", "redis", "service", "Redis"), ("js", "pg", "service", "PostgreSQL"),
-    ("python", "django", "framework", "Django"), ("python", "flask", "framework", "Flask"), ("python", "fastapi", "framework", "FastAPI"), ("python", "numpy", "tool", "NumPy"), ("python", "pandas", "tool", "Pandas"),
-    ("python", "pytest", "tool", "pytest"), ("python", "sqlalchemy", "tool", "SQLAlchemy"), ("python", "celery", "tool", "Celery"), ("python", "redis", "service", "Redis"), ("python", "psycopg2", "service", "PostgreSQL"),
-    ("rust", "tokio", "framework", "Tokio"), ("rust", "axum", "framework", "Axum"), ("rust", "actix-web", "framework", "Actix Web"), ("rust", "serde", "tool", "Serde"), ("rust", "clap", "tool", "Clap"), ("rust", "sqlx", "tool", "SQLx"),
-    ("go", "github.com/gin-gonic/gin", "framework", "Gin"), ("go", "github.com/labstack/echo", "framework", "Echo"), ("go", "gorm.io/gorm", "tool", "GORM"),
-    ("ruby", "rails", "framework", "Rails"), ("ruby", "sinatra", "framework", "Sinatra"), ("ruby", "rspec", "tool", "RSpec"), ("php", "laravel/framework", "framework", "Laravel"), ("php", "symfony/framework-bundle", "framework", "Symfony"), ("php", "phpunit/phpunit", "tool", "PHPUnit"),
-]
-#: Paths and what they tell: (pattern, kind, tag).
-FILE_TAGS = [
-    (r"(^|/)Dockerfile", "infra", "Docker"), (r"(^|/)docker-compose\.ya?ml$", "infra", "Docker Compose"), (r"(^|/)\.github/workflows/", "infra", "GitHub Actions"), (r"(^|/)\.gitlab-ci\.yml$", "infra", "GitLab CI"), (r"\.tf$", "infra", "Terraform"),
-    (r"(^|/)(k8s|kubernetes)/", "infra", "Kubernetes"), (r"(^|/)Makefile$", "tool", "Make"), (r"(^|/)vercel\.json$", "infra", "Vercel"), (r"(^|/)netlify\.toml$", "infra", "Netlify"), (r"(^|/)schema\.prisma$", "tool", "Prisma"),
-]
+    (family, package, kind, tag)
+    for family, rows in (("js", rules.JS_TECHNOLOGIES), ("python", rules.PYTHON_TECHNOLOGIES), ("rust", rules.RUST_TECHNOLOGIES), ("go", rules.GO_TECHNOLOGIES), ("ruby", rules.RUBY_TECHNOLOGIES), ("php", rules.PHP_TECHNOLOGIES))
+    for kind, tag, packages in rows
+    for package in packages.split()
+]
 FAMILY = {"npm": "js", "composer": "php", "cargo": "rust", "pip": "python", "poetry": "python", "pipenv": "python", "go": "go", "bundler": "ruby"}
 DEPENDENCY = "manager string, name string, version string, scope string, manifest_path string"
 
@@ -65,7 +56,7 @@ def technologies(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     deps = dependencies.withColumn("family", F.element_at(family, F.col("manager"))).withColumnRenamed("name", "package_name")
     fits = (F.col("d.family") == F.col("k.family")) & ((F.col("package_name") == F.col("package")) | ((F.col("k.family") == "go") & F.contains("package_name", F.col("package"))))
     from_deps = deps.alias("d").join(known.alias("k"), fits).select(F.lit(1).alias("o"), "kind", F.col("tag").alias("name"), F.concat_ws(":", F.lit("dependency"), "package_name").alias("source"), F.lit(0.9).alias("confidence"))
-    tags = F.array(*[F.when(F.col("path").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(t).alias("name"))) for p, k, t in FILE_TAGS])
+    tags = F.array(*[F.when(F.col("path").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(t).alias("name"))) for p, k, t in rules.FILE_TAGS])
     from_files = files.select("path", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select(F.lit(2).alias("o"), "t.kind", "t.name", F.concat_ws(":", F.lit("file"), "path").alias("source"), F.lit(0.85).alias("confidence"))
     return first_by(langs.unionByName(from_deps).unionByName(from_files), "name", ["o", "source"]).drop("o")
 

@@ -281,3 +281,64 @@ SYMBOL_RULES: list[tuple[str, str, str, int, str]] = [
 #: Kinds that a file has once a name; what in a path tells of a part of a page.
 ONCE = "styleClass styleId cssVariable tailwindDirective htmlSection htmlAnchor reactComponent ngComponent ngModule ngService ngRoute uiComponent".split()
 PARTIAL_MARKS = ["partial", "layout", "template", "_", "component"]
+
+#: Packages and what they tell, by ecosystem: kind, technology, packages (for Go: parts of module paths).
+JS_TECHNOLOGIES = [
+    ("framework", "Next.js", "next"), ("framework", "Nuxt", "nuxt nuxt3"), ("framework", "Remix", "@remix-run/react remix"), ("framework", "Astro", "astro"), ("framework", "SvelteKit", "@sveltejs/kit"),
+    ("framework", "Gatsby", "gatsby"), ("framework", "RedwoodJS", "@redwoodjs/core"), ("framework", "React", "react"), ("framework", "Vue.js", "vue"), ("framework", "Angular", "angular @angular/core"),
+    ("framework", "Svelte", "svelte"), ("framework", "SolidJS", "solid-js"), ("framework", "Preact", "preact"), ("framework", "Qwik", "@builder.io/qwik"), ("framework", "Lit", "lit lit-element"),
+    ("framework", "Express", "express"), ("framework", "Fastify", "fastify"), ("framework", "NestJS", "@nestjs/core nest"), ("framework", "Hono", "hono"), ("framework", "Koa", "koa"), ("framework", "Hapi", "@hapi/hapi"),
+    ("tool", "Jest", "jest"), ("tool", "Vitest", "vitest"), ("tool", "Mocha", "mocha"), ("tool", "Playwright", "playwright @playwright/test"), ("tool", "Cypress", "cypress"), ("tool", "Testing Library", "@testing-library/react"),
+    ("tool", "Vite", "vite"), ("tool", "Webpack", "webpack"), ("tool", "esbuild", "esbuild"), ("tool", "Turborepo", "turbo"), ("tool", "tsup", "tsup"), ("tool", "Rollup", "rollup"), ("tool", "Parcel", "parcel"),
+    ("tool", "Zustand", "zustand"), ("tool", "Jotai", "jotai"), ("tool", "Redux", "redux @reduxjs/toolkit"), ("tool", "MobX", "mobx"), ("tool", "Recoil", "recoil"), ("tool", "TanStack Query", "@tanstack/react-query react-query"),
+    ("tool", "SWR", "swr"), ("tool", "Tailwind CSS", "tailwindcss"), ("tool", "Styled Components", "styled-components"), ("tool", "Emotion", "@emotion/react @emotion/styled"), ("tool", "Sass", "sass"),
+    ("tool", "Chakra UI", "@chakra-ui/react"), ("tool", "Material UI", "@mui/material"), ("tool", "Ant Design", "antd"), ("tool", "Prisma", "prisma @prisma/client"), ("tool", "Drizzle", "drizzle-orm"), ("tool", "TypeORM", "typeorm"),
+    ("tool", "Sequelize", "sequelize"), ("tool", "Knex", "knex"), ("tool", "Mongoose", "mongoose"), ("tool", "Kysely", "kysely"), ("tool", "tRPC", "@trpc/server @trpc/client"), ("tool", "GraphQL", "graphql"),
+    ("tool", "Apollo", "@apollo/server @apollo/client"), ("tool", "URQL", "urql"), ("tool", "Auth.js", "next-auth @auth/core"), ("tool", "Passport", "passport"), ("tool", "Clerk", "@clerk/nextjs"),
+    ("service", "Supabase", "@supabase/supabase-js"), ("service", "Firebase", "firebase firebase-admin"), ("service", "AWS S3", "@aws-sdk/client-s3"), ("service", "Stripe", "stripe"), ("tool", "Socket.IO", "socket.io socket.io-client"),
+    ("tool", "WebSocket", "ws"), ("tool", "Nx", "nx"), ("tool", "Lerna", "lerna"), ("tool", "Storybook", "storybook @storybook/react"), ("tool", "TypeDoc", "typedoc"),
+]
+PYTHON_TECHNOLOGIES = [
+    ("framework", "Django", "django"), ("framework", "Flask", "flask"), ("framework", "FastAPI", "fastapi"), ("framework", "Starlette", "starlette"), ("framework", "Litestar", "litestar"), ("framework", "Tornado", "tornado"),
+    ("framework", "aiohttp", "aiohttp"), ("framework", "Sanic", "sanic"), ("framework", "Pyramid", "pyramid"), ("framework", "Bottle", "bottle"), ("framework", "Quart", "quart"), ("tool", "Celery", "celery"), ("tool", "RQ", "rq"),
+    ("tool", "Dramatiq", "dramatiq"), ("tool", "SQLAlchemy", "sqlalchemy"), ("tool", "Alembic", "alembic"), ("tool", "Peewee", "peewee"), ("tool", "Tortoise ORM", "tortoise-orm"), ("tool", "Databases", "databases"),
+    ("tool", "Psycopg", "psycopg2 psycopg"), ("tool", "PyMongo", "pymongo"), ("tool", "Redis-Py", "redis"), ("tool", "Pydantic", "pydantic"), ("tool", "Marshmallow", "marshmallow"), ("tool", "attrs", "attrs"), ("tool", "pytest", "pytest"),
+    ("tool", "unittest", "unittest"), ("tool", "Hypothesis", "hypothesis"), ("tool", "Coverage.py", "coverage"), ("tool", "pandas", "pandas"), ("tool", "NumPy", "numpy"), ("tool", "SciPy", "scipy"), ("tool", "Matplotlib", "matplotlib"),
+    ("tool", "Seaborn", "seaborn"), ("tool", "Plotly", "plotly"), ("tool", "Polars", "polars"), ("tool", "TensorFlow", "tensorflow tensorflow-gpu"), ("tool", "PyTorch", "torch pytorch"), ("tool", "scikit-learn", "scikit-learn sklearn"),
+    ("tool", "Keras", "keras"), ("tool", "Transformers", "transformers"), ("tool", "LangChain", "langchain langchain-core"), ("service", "OpenAI", "openai"), ("service", "Anthropic", "anthropic"),
+    ("tool", "Hugging Face", "huggingface-hub"), ("tool", "Requests", "requests"), ("tool", "HTTPX", "httpx"), ("tool", "Click", "click"), ("tool", "Typer", "typer"), ("tool", "Rich", "rich"),
+]
+RUST_TECHNOLOGIES = [
+    ("framework", "Actix Web", "actix-web"), ("framework", "Axum", "axum"), ("framework", "Rocket", "rocket"), ("framework", "Warp", "warp"), ("framework", "Poem", "poem"), ("framework", "Tide", "tide"), ("tool", "Tokio", "tokio"),
+    ("tool", "async-std", "async-std"), ("tool", "Serde", "serde"), ("tool", "serde_json", "serde_json"), ("tool", "Diesel", "diesel"), ("tool", "SQLx", "sqlx"), ("tool", "SeaORM", "sea-orm"), ("tool", "rusqlite", "rusqlite"),
+    ("tool", "MongoDB Rust", "mongodb"), ("tool", "redis-rs", "redis"), ("tool", "clap", "clap"), ("tool", "StructOpt", "structopt"), ("tool", "reqwest", "reqwest"), ("tool", "Hyper", "hyper"), ("tool", "Askama", "askama"),
+    ("tool", "Tera", "tera"), ("tool", "Handlebars", "handlebars"), ("tool", "Criterion", "criterion"), ("tool", "proptest", "proptest"), ("tool", "tracing", "tracing"), ("tool", "log", "log"),
+]
+GO_TECHNOLOGIES = [
+    ("framework", "Gin", "github.com/gin-gonic/gin"), ("framework", "Fiber", "github.com/gofiber/fiber"), ("framework", "Echo", "github.com/labstack/echo"), ("framework", "Gorilla Mux", "github.com/gorilla/mux"),
+    ("framework", "Chi", "github.com/go-chi/chi"), ("framework", "Beego", "github.com/beego/beego"), ("tool", "Hugo", "github.com/gohugoio/hugo"), ("tool", "GORM", "gorm.io/gorm"), ("tool", "sqlx", "github.com/jmoiron/sqlx"),
+    ("tool", "go-pg", "github.com/go-pg/pg"), ("tool", "MongoDB Go", "go.mongodb.org/mongo-driver"), ("tool", "go-redis", "github.com/redis/go-redis"), ("tool", "Testify", "github.com/stretchr/testify"),
+    ("tool", "Ginkgo", "github.com/onsi/ginkgo"), ("tool", "Cobra", "github.com/spf13/cobra"), ("tool", "urfave/cli", "github.com/urfave/cli"), ("tool", "gRPC Go", "google.golang.org/grpc"), ("tool", "Zap", "go.uber.org/zap"),
+    ("tool", "Logrus", "github.com/sirupsen/logrus"),
+]
+RUBY_TECHNOLOGIES = [
+    ("framework", "Ruby on Rails", "rails"), ("framework", "Sinatra", "sinatra"), ("framework", "Hanami", "hanami"), ("framework", "Roda", "roda"), ("framework", "Grape", "grape"), ("framework", "Padrino", "padrino"),
+    ("tool", "Active Record", "activerecord"), ("tool", "Sequel", "sequel"), ("tool", "ROM", "rom-rb rom"), ("tool", "Mongoid", "mongoid"), ("tool", "Redis Ruby", "redis"), ("tool", "Sidekiq", "sidekiq"), ("tool", "Resque", "resque"),
+    ("tool", "Delayed Job", "delayed_job"), ("tool", "GoodJob", "good_job"), ("tool", "RSpec", "rspec rspec-rails"), ("tool", "Minitest", "minitest"), ("tool", "Capybara", "capybara"), ("tool", "FactoryBot", "factory_bot factory_bot_rails"),
+    ("tool", "GraphQL Ruby", "graphql-ruby graphql"), ("tool", "Jbuilder", "jbuilder"), ("tool", "Devise", "devise"), ("tool", "OmniAuth", "omniauth"), ("tool", "Webpacker", "webpacker"), ("tool", "Sprockets", "sprockets"),
+]
+PHP_TECHNOLOGIES = [
+    ("framework", "Laravel", "laravel/framework"), ("framework", "Symfony", "symfony/symfony symfony/framework-bundle"), ("framework", "Slim", "slim/slim"), ("framework", "CakePHP", "cakephp/cakephp"), ("framework", "Yii", "yiisoft/yii2"),
+    ("framework", "Laminas", "laminas/laminas-mvc"), ("framework", "CodeIgniter", "codeigniter4/framework"), ("tool", "Doctrine", "doctrine/orm"), ("tool", "Doctrine DBAL", "doctrine/dbal"), ("tool", "Eloquent", "illuminate/database"),
+    ("tool", "PHPUnit", "phpunit/phpunit"), ("tool", "PHPSpec", "phpspec/phpspec"), ("tool", "Behat", "behat/behat"), ("tool", "Pest", "pestphp/pest"), ("tool", "Twig", "twig/twig"), ("tool", "Blade", "laravel/blade jenssegers/blade"),
+    ("framework", "API Platform", "api-platform/core"), ("tool", "Fractal", "league/fractal"), ("tool", "Laravel Passport", "laravel/passport"), ("tool", "Laravel Sanctum", "laravel/sanctum"), ("tool", "Horizon", "laravel/horizon"),
+    ("tool", "php-amqplib", "php-amqplib/php-amqplib"), ("tool", "Guzzle", "guzzlehttp/guzzle"), ("tool", "Monolog", "monolog/monolog"),
+]
+#: Paths and what they tell: pattern, kind, technology.
+FILE_TAGS = [
+    (r"(^|/)(docker-)?compose\.ya?ml$", "infra", "Docker Compose"), (r"(?i)(kubernetes|k8s)/.*(?-i)\.ya?ml$", "infra", "Kubernetes"), (r"(^|/)Chart\.ya?ml$", "infra", "Helm"),
+    (r"(?i)\.github/workflows/.*(?-i)\.ya?ml$", "tool", "GitHub Actions"), (r"(^|/)\.gitlab-ci\.yml$", "tool", "GitLab CI"), (r"(?i)\.circleci/config\.yml", "tool", "CircleCI"), (r"(^|/)Jenkinsfile$", "tool", "Jenkins"),
+    (r"\.tf$", "infra", "Terraform"), (r"(^|/)Pulumi\.ya?ml$", "infra", "Pulumi"), (r"(^|/)serverless\.ya?ml$", "infra", "Serverless Framework"), (r"(^|/)vercel\.json$", "infra", "Vercel"), (r"(^|/)netlify\.toml$", "infra", "Netlify"),
+    (r"(^|/)fly\.toml$", "infra", "Fly.io"), (r"(^|/)(Makefile|makefile|GNUmakefile)$", "tool", "Make"), (r"(^|/)(justfile|Justfile|\.justfile)$", "tool", "Just"), (r"(^|/)Taskfile\.ya?ml$", "tool", "Task"), (r"(^|/)nx\.json$", "tool", "Nx"),
+    (r"(^|/)turbo\.json$", "tool", "Turborepo"), (r"(^|/)lerna\.json$", "tool", "Lerna"),
+]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,62 +44,136 @@ IGNORED = ".git .hg .svn node_modules target dist build .venv venv __pycache__ .
 BINARY = "png jpg jpeg gif bmp ico webp pdf zip gz tar tgz bz2 xz 7z rar exe dll so dylib a o bin class jar war wasm mp3 mp4 avi mov mkv wav ogg ttf otf woff woff2 eot db sqlite lock".split()
 
 
-def directory(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path (below root), size, mtime, content of the text files below a folder that Spark can read; `ignore` are further patterns of paths."""
+def ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the lines of an ignore file leave a path out: the last line that fits counts, and one with `!` takes paths in again, below folders that are left out too."""
+    out = F.lit(False)
+    for raw in lines:
+        line = raw.strip()
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!")
+        folder, line = line.endswith("/"), line.rstrip("/")
+        start, line = "^" if "/" in line else "(^|/)", line.lstrip("/")
+        body = ""
+        for part in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]*\]|.", line):
+            body += {"**/": "(.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if part.startswith("[") and len(part) > 1 else re.escape(part))
+        out = F.when(path.rlike(start + body + ("/" if folder else "(/|$)")), F.lit(not back)).otherwise(out)
+    return out
+
+
+def directory(spark: SparkSession, root: str, ignore: list[str] | None = None, ignore_file: list[str] | None = None) -> DataFrame:
+    """path (below root), size, mtime, text of the text files below a folder that Spark can read; `ignore` are further patterns of paths, `ignore_file` the lines of an ignore file. Text that isn't UTF-8 is null."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", r"^.*?" + "(?:" + root.rstrip("/").split("://")[-1].lstrip("/").replace(".", r"\.") + ")/", "")
-    rows = found.select(below.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+    rows = found.select(below.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     skip = rf"(^|/)({'|'.join(x.replace('.', chr(92) + '.') for x in IGNORED)})/|(^|/)\.[^/]+|\.({'|'.join(BINARY)})$"
     rows = rows.filter(~F.col("path").rlike(skip))
     for pattern in ignore or []:
         rows = rows.filter(~F.col("path").rlike(pattern))
-    return rows
-
-
-class _Text(HTMLParser):
-    """Markdown of the first main container, without navigation."""
-
-    DROP = {"nav", "aside", "header", "footer", "script", "style", "noscript", "template"}
-    HEADS = {f"h{i}": "#" * i + " " for i in range(1, 7)}
-    BREAK = {"p", "div", "br", "li", "tr", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre", *HEADS}
-
-    def __init__(self) -> None:
+    return rows.filter(~ignored(F.col("path"), ignore_file)) if ignore_file else rows
+
+
+#: What of a page is left out, where its content is looked for, in order, and the least size of that.
+LEFT_OUT = "nav aside header footer script style noscript template [role=navigation] .sidebar .nav .menu .toc .table-of-contents".split()
+CONTAINERS = [
+    "[data-docs-container]", "[data-docs-content]", ".docs-content", ".markdown-body", ".prose", ".documentation", ".article-content", "article", "main article", "main .content", "[role=main] article", "main", "[role=main]",
+    "#content", ".content", "body",
+]
+LEAST = 500
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+HEADS = {f"h{i}": "#" * i + " " for i in range(1, 7)}
+BREAK = {"p", "div", "br", "li", "tr", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre", *HEADS}
+
+
+class _Element(NamedTuple):
+    tag: str
+    attrs: dict[str, str]
+    #: Places of the tokens and of the characters where it begins.
+    token: int
+    char: int
+
+    def fits(self, selector: str) -> bool:
+        """A tag, .class, #id, [attribute] or [attribute=value]."""
+        if selector[0] == ".":
+            return selector[1:] in (self.attrs.get("class") or "").split()
+        if selector[0] == "#":
+            return self.attrs.get("id") == selector[1:]
+        if selector[0] == "[":
+            name, eq, value = selector[1:-1].partition("=")
+            return name in self.attrs and (not eq or self.attrs[name] == value)
+        return self.tag == selector
+
+
+class _Page(HTMLParser):
+    """The pieces of a page without what is left out, and the first element of each kind of container."""
+
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.out, self.links = 0, [], []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+        #: Elements that are open, with whether each is left out.
+        self.open: list[tuple[_Element, bool]] = []
+        self.hidden = 0
+        self.pieces: list[tuple[str, str, str]] = []
+        #: Container: begin, end among the pieces, and characters.
+        self.first: dict[str, list[int]] = {}
+        self.feed(html)
+        self.close()
+        self.shut(0, len(html))
+
+    def here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def shut(self, keep: int, char: int) -> None:
+        while len(self.open) > keep:
+            e, out = self.open.pop()
+            self.hidden -= out
+            for at in self.first.values():
+                if at[0] == e.token and at[2] == -e.char - 1:
+                    at[1:] = [len(self.pieces), char - e.char]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.DROP:
-            self.skip += 1
-        elif not self.skip:
-            if tag in self.BREAK:
-                self.out.append("\n")
-            if tag in self.HEADS:
-                self.out.append(self.HEADS[tag])
-            elif tag == "li":
-                self.out.append("- ")
-            elif tag == "a":
-                self.links.append(dict(attrs).get("href") or "")
-                self.out.append("[")
+        e = _Element(tag, {k: v or "" for k, v in attrs}, len(self.pieces), self.here())
+        out = any(e.fits(s) for s in LEFT_OUT)
+        if not (self.hidden or out):
+            for c in CONTAINERS:
+                *above, own = c.split()
+                if c not in self.first and e.fits(own) and (not above or any(o.fits(above[0]) for o, _ in self.open)):
+                    self.first[c] = [e.token, -1, -e.char - 1]
+            self.pieces.append(("start", tag, e.attrs.get("href", "")))
+        if tag not in VOID:
+            self.open.append((e, out))
+            self.hidden += out
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.DROP:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip:
-            if tag == "a" and self.links:
-                self.out.append(f"]({self.links.pop()})")
-            if tag in self.BREAK:
-                self.out.append("\n")
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0].tag == tag), None)
+        if at is None:
+            return
+        hidden = self.hidden
+        if not hidden:
+            self.pieces.append(("end", tag, ""))
+        self.shut(at, self.here() + len(tag) + 3)
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+        if not self.hidden:
+            self.pieces.append(("data", data, ""))
 
 
 def to_markdown(html: str) -> str:
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    lines = [" ".join(x.split()) for x in "".join(parser.out).split("\n")]
+    """Markdown of the first container whose source is longer than 500 characters, else of the whole page; without navigation."""
+    page = _Page(html)
+    begin, end = next(((a, b) for a, b, n in (page.first[c] for c in CONTAINERS if c in page.first) if n > LEAST), (0, len(page.pieces)))
+    out, links = [], []
+    for kind, what, href in page.pieces[begin:end]:
+        if kind == "data":
+            out.append(re.sub(r"\s+", " ", what))
+        elif kind == "start":
+            out.append(("\n" if what in BREAK else "") + (HEADS.get(what) or {"li": "- ", "a": "["}.get(what, "")))
+            if what == "a":
+                links.append(href)
+        else:
+            out.append((f"]({links.pop()})" if what == "a" and links else "") + ("\n" if what in BREAK else ""))
+    lines = [" ".join(x.split()) for x in "".join(out).split("\n")]
     return "\n\n".join(x for x in lines if x)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import chunks, graph, history, inventory, memory, search, staging
 from loomwright.sources.snapshots import Store, delete, upsert
-from loomwright.sources.tables import SCHEMAS, directory, json_lines, to_markdown
+from loomwright.sources.tables import SCHEMAS, directory, ignored, json_lines, to_markdown
 from loomwright.streaming.ingest import commit_stream, pending_stream, windowed_counts
 
 
@@ -120,10 +120,10 @@ def test_manifests():
 
 
 def test_technologies(spark):
-    files = spark.createDataFrame([("a/x.py",), ("Dockerfile",), ("b/x.ts",)], "path string")
+    files = spark.createDataFrame([("a/x.py",), ("deploy/docker-compose.yml",), ("b/x.ts",), ("K8S/x.yaml",), ("x.TF",)], "path string")
     deps = spark.createDataFrame([("npm", "react", "1", "runtime", "p"), ("npm", "typescript", "5", "dev", "p")], inventory.DEPENDENCY)
     got = {(r.kind, r.name) for r in inventory.technologies(files, deps).collect()}
-    assert {("language", "Python"), ("framework", "React"), ("infra", "Docker")} <= got
+    assert {("language", "Python"), ("framework", "React"), ("infra", "Docker Compose"), ("infra", "Kubernetes")} <= got and ("infra", "Terraform") not in got
 
 
 def test_snapshots(spark, tmp_path):
@@ -146,6 +146,24 @@ def test_sources(spark, tmp_path):
         (tmp_path / "w" / f).write_text("x")
     assert [r.path.rsplit("w/")[-1] for r in directory(spark, str(tmp_path / "w")).collect()] == ["src/a.py"]
     assert to_markdown("<nav>n</nav><h1>T</h1><p>a <a href='u'>b</a></p><script>x</script>") == "# T\n\na [b](u)"
+    long = "<p>" + "word " * 120 + "</p>"
+    page = f"<html><body><header>h</header><div class='menu'>m<div>n</div></div><p>before</p><article><p>short</p></article><main><h2>M</h2><div class='toc'>t</div>{long}<br>end</main><p>after</p></body></html>"
+    text = to_markdown(page)  # the article is too short
+    assert text.startswith("## M\n\nword word") and text.endswith("end") and "before" not in text and not any(x in text.split() for x in "mnth")
+    assert to_markdown(page.replace("<main>", "<main><article>").replace("</main>", "</article></main>").replace("<article><p>short</p></article>", "")).endswith("end")
+    assert to_markdown(f"<body><p>a<p>b{long}</body>").startswith("a\n\nb") and to_markdown("") == "" and to_markdown("</p>x<br></div>") == "x"
+
+
+def test_ignore_file(spark):
+    paths = ["a.log", "x/a.log", "keep.log", "build/o", "src/build/o", "doc/a.txt", "doc/sub/a.txt", "t/x/y/z.bin", "f1.md", "f2.md", "q.py"]
+    lines = ["# comment", "", "*.log", "!keep.log", "/build/", "doc/*.txt", "t/**/z.bin", "f[!2].md"]
+    got = {r.p for r in spark.createDataFrame([(p,) for p in paths], "p string").filter(ignored(F.col("p"), lines)).collect()}
+    assert got == {"a.log", "x/a.log", "build/o", "doc/a.txt", "t/x/y/z.bin", "f1.md"}
+
+
+def test_changelog_modes():
+    assert history.changelog("old", "## 1\n", False) == "## 1\n"
+    assert history.changelog(None, "## 1\n", True).startswith("# Changelog") and "## 1" in history.changelog("# C\n\n## 0\n", "## 1\n", True)
 
 
 def test_streams(spark, tmp_path):
