@@ -231,9 +231,9 @@ def kg_sync_nodes(spark, sf_dir):
     return links.sync(_source_files(spark, sf_dir)).nodes.select("id", "kind")
 
 
-@query(f"with {_NODES} select id, kind, label from nodes where kind in ('nation', 'supplier') and contains(lower(label), 'an')")
+@query(f"with {_NODES} select id, kind, label from nodes where kind in ('nation', 'supplier') and contains(lower(label), 'n_1')")
 def kg_list_nodes(spark, sf_dir):
-    return G.list_nodes(_nodes(spark, sf_dir), kinds=["nation", "supplier"], label="AN")
+    return G.list_nodes(_nodes(spark, sf_dir), kinds=["nation", "supplier"], label="N_1")
 
 
 @query(f"with {_EDGES} select * from edges where kind = 'locatedIn' and (from_node = 'nation:7' or to_node = 'nation:7')")
