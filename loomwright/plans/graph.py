@@ -208,7 +208,7 @@ def kg_imports_from_text(spark, sf_dir):
     files = _source_files(spark, sf_dir)
     found = links.imports(files).select("path", "target")
     known = files.select(F.concat_ws(":", F.lit("file"), "path").alias("id"), "path")
-    return found.join(G.resolve_imports(found, known), ["path", "target"], "left")
+    return found.join(G.resolve_imports(found, known).hint("merge"), ["path", "target"], "left")
 
 
 @query(f"""with {_FILES}, calls as (

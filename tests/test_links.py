@@ -2,6 +2,7 @@ import json
 import random
 
 from loomwright.operators import graph, links
+from loomwright.plans.graph import kg_imports_from_text
 
 FILES = [
     ("src/index.ts", "import { a } from './utils';\nimport './config'\nconst r = require(\"react\");\nrun(); user.save(1); console.log(2); JSON.parse(x)\nfunction go() { go2() }\nfunction go() {}\n"),
@@ -24,6 +25,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(p, "code", t) for p, t in rows], "path string, base string, text string")
 
 
+def plan(df):
+    """The physical plan; of a frame that was collected, the one that ran."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_symbols_of_languages(spark):
     g = links.sync(frame(spark, FILES))
     got = {r.id for r in g.nodes.filter("id like 'sym:%'").collect()}
@@ -65,6 +71,14 @@ def test_limits_and_imports(spark):
     assert links.sync(frame(spark, []).limit(0)).nodes.count() == 0
 
 
+def test_imports_gather_nothing_on_the_driver(spark, tmp_path):
+    spark.range(40).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = kg_imports_from_text(spark, str(tmp_path))
+    got = found.collect()
+    assert len(got) == 70 and sum(r.to_node is not None for r in got) == 20
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+
+
 def test_budgeted(spark):
     rng = random.Random(3)
     for nodes, budget in ((8, (3, 4)), (20, (5, 2)), (12, (12, 100)), (30, (7, 9))):
