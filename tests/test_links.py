@@ -79,6 +79,13 @@ def test_imports_gather_nothing_on_the_driver(spark, tmp_path):
     assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
 
 
+def test_sync_gathers_nothing_on_the_driver(spark, tmp_path):
+    frame(spark, FILES).write.parquet(f"{tmp_path}/chunks")
+    edges = links.sync(spark.read.parquet(f"{tmp_path}/chunks")).edges
+    assert {r.to_node for r in edges.collect() if r.kind == "imports" and r.from_node == "file:src/index.ts"} == {"file:src/utils.ts", "file:src/config.ts"}
+    assert "SortMergeJoin" in plan(edges) and "Broadcast" not in plan(edges)
+
+
 def test_budgeted(spark):
     rng = random.Random(3)
     for nodes, budget in ((8, (3, 4)), (20, (5, 2)), (12, (12, 100)), (30, (7, 9))):
