@@ -100,11 +100,16 @@ def join_path(folder: Column, relative: Column) -> Column:
     return F.array_join(F.aggregate(parts, empty, lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))), "/")
 
 
-def import_candidates(source: Column, target: Column) -> Column:
-    """array of struct(rank, path) that an import may mean; empty unless it starts with . or /."""
+def import_stem(source: Column, target: Column) -> Column:
+    """The path that an import names, its ending open; null unless it starts with . or /."""
     folder = F.regexp_extract(source, r"^(.*)/[^/]*$", 1)
-    stem = join_path(folder, target)
-    return F.when(target.rlike(r"^[./]"), F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(stem, F.lit(e)).alias("path")) for i, e in enumerate(IMPORT_ENDINGS)])).otherwise(F.array().cast("array<struct<rank:int,path:string>>"))
+    return F.when(target.rlike(r"^[./]"), join_path(folder, target))
+
+
+def import_stems(path: Column) -> Column:
+    """array of struct(rank, stem): the stems that a file answers to, each with the place of the ending that leads from it to the file."""
+    ends = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("end")) for i, e in enumerate(IMPORT_ENDINGS)])
+    return F.transform(F.filter(ends, lambda x: F.endswith(path, x["end"])), lambda x: F.struct(x["rank"].alias("rank"), F.substr(path, F.lit(1), F.length(path) - F.length(x["end"])).alias("stem")))
 
 
 #: The name of a branch.

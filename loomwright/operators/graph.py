@@ -136,12 +136,14 @@ def edge_id(source: Column, target: Column, kind: Column) -> Column:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (path, target), files (id, path): source path, target, and the first known file that the target may mean.
 
-    Spark takes exploded rows for far fewer than they are, so the join is told to merge: else the
-    driver may gather either side for a broadcast.
+    A file has few endings to take off and an import many to try, so the files are spread, not the
+    imports. Spark takes exploded rows for far fewer than they are, so the join is told to merge:
+    else the driver may gather either side for a broadcast.
     """
-    tried = imports.select("path", "target", F.explode(paths.import_candidates(F.col("path"), F.col("target"))).alias("c")).select("path", "target", F.col("c.rank").alias("rank"), F.col("c.path").alias("to_path"))
-    known = files.select(F.col("path").alias("to_path"), F.col("id").alias("to_node"))
-    return tried.join(known.hint("merge"), "to_path").groupBy("path", "target").agg(F.min_by("to_node", "rank").alias("to_node"))
+    asked = imports.select("path", "target", paths.import_stem(F.col("path"), F.col("target")).alias("stem")).filter("stem is not null").distinct()
+    known = files.select("id", F.explode(paths.import_stems(F.col("path"))).alias("s")).select("id", "s.rank", "s.stem")
+    first = known.groupBy("stem").agg(F.min_by("id", "rank").alias("to_node"))
+    return asked.join(first.hint("merge"), "stem").select("path", "target", "to_node")
 
 
 def reach(edges: DataFrame, roots: DataFrame, hops: int = MAX_HOPS) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 
 from loomwright.operators import graph, links
 from loomwright.plans.graph import kg_imports_from_text
+from loomwright.rules import IMPORT_ENDINGS
 
 FILES = [
     ("src/index.ts", "import { a } from './utils';\nimport './config'\nconst r = require(\"react\");\nrun(); user.save(1); console.log(2); JSON.parse(x)\nfunction go() { go2() }\nfunction go() {}\n"),
@@ -86,6 +87,38 @@ def test_sync_gathers_nothing_on_the_driver(spark, tmp_path):
     assert "SortMergeJoin" in plan(edges) and "Broadcast" not in plan(edges)
 
 
+def exploded(node):
+    """Rows that the explosions of a plan that ran have made."""
+    own = node.metrics().get("numOutputRows").get().value() if node.nodeName() == "Generate" else 0
+    return own + sum(exploded(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_imports_are_not_exploded(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        imports = spark.range(100).selectExpr("concat('a/m', id, '.ts') as path", "'./x' as target")
+        found = graph.resolve_imports(imports, spark.createDataFrame([("file:a/x.ts", "a/x.ts"), ("file:b.py", "b.py")], "id string, path string"))
+        assert len(found.collect()) == 100 and exploded(found._jdf.queryExecution().executedPlan()) <= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_import_stems(spark):
+    known = ["a/x.ts", "a/x/index.ts", "a/x", "a/y.js.ts", "a/y.js", "a/.ts", "a/z/mod.rs", "a/index.ts", "b.py", "a/x.tsx", None]
+    asked = [("a/m.ts", t) for t in ("./x", "./x.ts", "./x/index", "./y", "./y.js", "./z", ".", "./", "../b", "/b", "x", "./none", "./x/", "../a/./x")] + [("a/m.ts", "./x"), ("m.ts", "./a/x"), ("m.ts", "./a")]
+    files = spark.createDataFrame([(f"file:{p}", p) for p in known], "id string, path string")
+    got = {(r.path, r.target): r.to_node for r in graph.resolve_imports(spark.createDataFrame(asked, "path string, target string"), files).collect()}
+    want = {}
+    for path, target in asked:
+        if target[0] in "./":
+            parts = []
+            for p in ("" if target[0] == "/" else path.rpartition("/")[0] + "/").split("/") + target.split("/"):
+                parts = parts[:-1] if p == ".." else parts if p in ("", ".") else [*parts, p]
+            found = [x for x in ("/".join(parts) + e for e in IMPORT_ENDINGS) if x in known]
+            want |= {(path, target): f"file:{found[0]}"} if found else {}
+    assert got == want and len(want) == 14
+
+
 def test_budgeted(spark):
     rng = random.Random(3)
     for nodes, budget in ((8, (3, 4)), (20, (5, 2)), (12, (12, 100)), (30, (7, 9))):
